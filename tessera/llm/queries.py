@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, langid, quality, simhash
+from tessera.llm import bpe, exact_dedup, langid, lm_scoring, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,6 +43,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.add_language(docs.select("doc_id", out.alias("held_out"), "text"), profiles).drop("text")
 
 
+@query("op3_lm_scoring")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
+    models = lm_scoring.fit(docs.join(good, "doc_id", "left").select("text", "target"))
+    return lm_scoring.add_scores(docs, models).drop("text")
+
+
 @query("op4_bpe_encode_decode")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
