@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, exact_dedup, langid, lm_scoring, quality, simhash
+from tessera.llm import bpe, chat, decontaminate, exact_dedup, langid, licences, lm_scoring, quality, simhash, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,6 +43,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.add_language(docs.select("doc_id", out.alias("held_out"), "text"), profiles).drop("text")
 
 
+@query("op2_url_filters")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(_table(spark, sf_dir, "pages"))
+
+
 @query("op3_lm_scoring")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -104,6 +109,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@query("op8_licence_scan", licences.scan_sql("documents"))
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 @query(
     "op9_exact_dedup",
     """
