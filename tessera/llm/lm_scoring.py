@@ -25,6 +25,8 @@ from tessera.llm.batches import append_columns, only, slices
 EDGE = 0xFF
 #: Strength of the lower order in each step of the interpolation, in tokens.
 STRENGTH = 5.0
+#: Identifiers of target texts up to this number are broadcast, more are shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def framed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +103,17 @@ def _losses(n3: np.ndarray, strength: float) -> np.ndarray:
     return -np.log(p3).astype(np.float32).ravel()
 
 
+def flag_targets(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", target_col: str = "target", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """``docs`` with a flag that is true for identifiers in ``targets``; null ones are in none.
+
+    Texts are not shuffled for it as long as the targets' identifiers are few enough to be
+    broadcast (8 bytes each, counted first); more of them are joined by a shuffle.
+    """
+    ids = targets.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct().withColumn(target_col, F.lit(True))
+    side = F.broadcast(ids) if ids.count() <= broadcast_ids else ids.hint("merge")
+    return docs.join(side, id_col, "left").withColumn(target_col, F.coalesce(target_col, F.lit(False)))
+
+
 def fit(df: DataFrame, text_col: str = "text", target_col: str = "target", strength: float = STRENGTH) -> Models:
     """Both models from all texts: the target from rows where ``target_col`` is true, the
     background from every row. Null texts count as empty, a null flag as false."""

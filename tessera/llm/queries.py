@@ -51,8 +51,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_lm_scoring")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    models = lm_scoring.fit(docs.join(good, "doc_id", "left").select("text", "target"))
+    good = _table(spark, sf_dir, "labels").where("quality = 1")
+    models = lm_scoring.fit(lm_scoring.flag_targets(docs, good))
     return lm_scoring.add_scores(docs, models).drop("text")
 
 

@@ -65,6 +65,14 @@ def test_scores_equal_dictionaries(spark):
     assert np.mean(like) > np.mean([r.score for r in got if r.target is False and r.text])
 
 
+def test_flags_are_the_same_broadcast_or_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
+    good = spark.createDataFrame([(1, 1), (1, 1), (None, 1), (9, 1)], "doc_id long, quality int")
+    for most in (0, 100):
+        got = lm.flag_targets(docs, good, broadcast_ids=most).collect()
+        assert sorted((r.text, r.target) for r in got) == [("a", True), ("b", True), ("c", False), ("d", False)]
+
+
 def test_bytes_never_seen_share_a_loss(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     n, a, b = lm.score_texts(["中文", "QQ"], lm.fit(df))
