@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import coarsening, fuzzy, labelprop, search, sparse, tree
 from tessera.operators.components import connected_components
-from tessera.operators.embedding import Adam, Block, node_embedding, run_epochs
+from tessera.operators.embedding import Block, node_embedding
 from tessera.operators.knn import knn, nested
 from tessera.operators.mst import core_distance, grow_tree, linkage, merge_edges, mst, nearest_other_component
 from tessera.params import ClusterParams, EmbeddingParams, NearestNeighbourParams, Verbosity, parse_gpu_method, parse_method, parse_verbosity, resolve_method
