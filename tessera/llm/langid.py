@@ -2,7 +2,8 @@
 
 Every letter has a random vector of +1 and -1, drawn from its code point alone. A trigram's
 vector binds (multiplies) its letters' vectors, each permuted (rotated) by its place in the
-trigram; a text's vector bundles (adds) the vectors of all its trigrams. Language prototypes
+trigram; a text's vector bundles (adds) the vectors of its trigrams, each weighted by the logarithm
+of one plus its count, so that a few words said over and over don't drown the rest. Prototypes
 bundle the unit vectors of labelled texts, and a text gets the language whose prototype has
 the largest cosine with its own vector.
 
@@ -55,7 +56,7 @@ def trigram_vectors(trigrams: np.ndarray, dimensions: int = DIMENSIONS) -> np.nd
 
 
 def text_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Bundles (float32, texts x dimensions) of all trigrams of each text; zero without letters."""
+    """Bundles (float32, texts x dimensions) of each text's trigrams; zero without letters."""
     n = len(texts)
     out = np.zeros((n, dimensions), dtype=np.float32)
     cps, bounds = flat_codepoints([f" {t} ".lower() for t in texts])
@@ -96,7 +97,7 @@ def text_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
             if height <= 0:
                 break
             counts = np.bincount((own[lo:hi][part] - first) * width + at[lo:hi][part] - k, minlength=height * width)
-            out[first : first + height] += counts.reshape(height, width).astype(np.float32) @ bound
+            out[first : first + height] += np.log1p(counts.reshape(height, width)).astype(np.float32) @ bound
     return out
 
 
