@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.batches import append_columns, only
-from tessera.llm.components import components
+from tessera.operators.components import components
 from tessera.runtime import cut, fresh
 
 SEED = 42
@@ -38,6 +38,8 @@ MAX_BITS = 3
 SHARED_BYTES = 8 - MAX_BITS
 HOT = 4096
 PROBE = 30_000
+#: Identifiers of dropped rows up to this number are broadcast, more are shuffled.
+BROADCAST_IDS = 2_000_000
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -221,7 +223,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """``df`` with one row of each component of near copies, all columns unchanged.
 
     The row with the smallest identifier stays (nulls last); of rows that repeat both this
@@ -234,8 +236,11 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     # identifiers that do not name one row are settled by identifier and fingerprint
     unclear = cut(slim.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"))
     id_, fp_c = df[f"`{id_col}`"], fresh("__fp", df)
-    clear = stays.join(unclear, stays["doc_id"].eqNullSafe(unclear["doc_id"]), "left_anti")
-    out = df.join(clear, id_ == clear["doc_id"], "left_semi")
+    # few rows go, so their identifiers are what the documents are joined with: broadcast while there
+    # are few enough, which leaves the texts where they are, and shuffled beyond
+    gone = cut(slim.select("doc_id").join(stays.select("doc_id"), "doc_id", "left_anti").unionByName(unclear).distinct())
+    side = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
+    out = df.where(id_.isNotNull()).join(side, id_ == gone["doc_id"], "left_anti")
     if not unclear.isEmpty():
         again = add_fingerprint(df.join(unclear, id_.eqNullSafe(unclear["doc_id"]), "left_semi"), text_col, fp_c, words).dropDuplicates([id_col, fp_c])
         won = again.join(stays, again[f"`{id_col}`"].eqNullSafe(stays["doc_id"]) & (again[fp_c] == stays["fp"]), "left_semi")

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer  # noqa: E402
 import corpus_pipeline as cp  # noqa: E402
 import public_tokenizers  # noqa: E402
 from tests.llm.test_decontaminate import plain_matches  # noqa: E402
-from tests.llm.test_quality import clean, junk  # noqa: E402
+from tests.llm.test_quality import junk  # noqa: E402
 from tests.llm.test_simhash import roots, slow_fingerprint  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string"

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from tessera.llm import simhash
-from tessera.llm.components import components
+from tessera.operators.components import components
 
 SCHEMA = "doc_id long, text string, fp string, component_id int"
 
@@ -68,10 +68,11 @@ def test_components_equal_brute_force(spark, hot):
     assert len({r.component_id for r in got}) < 0.5 * len(rows)
 
 
-def test_drop_keeps_one_row_of_each_component(spark):
+@pytest.mark.parametrize("broadcast_ids", [simhash.BROADCAST_IDS, 0])
+def test_drop_keeps_one_row_of_each_component(spark, broadcast_ids):
     rows = documents()
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    kept = simhash.drop_near(df).collect()
+    kept = simhash.drop_near(df, broadcast_ids=broadcast_ids).collect()
     fps = [slow_fingerprint(r[1]) for r in rows]
     groups = {}
     for r, f, root in zip(rows, fps, roots(fps)):
