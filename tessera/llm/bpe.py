@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.llm.batches import append_columns, flat_codepoints
+from tessera.llm.words import powers
 
 #: The pattern that splits text before merging, for this family of vocabularies.
 #: ``word_starts`` finds the same words without running a pattern over every text.
@@ -212,10 +213,9 @@ def distinct_words(cps: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     prefix sums; afterwards every word is compared with its representative in full.
     """
     size = np.diff(at)
-    powers, inverses = _powers(len(cps))
     sums = np.zeros(len(cps) + 1, dtype=np.uint64)
-    np.cumsum((cps.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * powers, out=sums[1:])
-    code = (sums[at[1:]] - sums[at[:-1]]) * inverses[at[:-1]]
+    np.cumsum((cps.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * powers(len(cps)), out=sums[1:])
+    code = (sums[at[1:]] - sums[at[:-1]]) * powers(len(cps), inverse=True)[at[:-1]]
     _, place, number = np.unique(code, return_index=True, return_inverse=True)
     there = np.arange(len(cps)) + np.repeat(at[place][number] - at[:-1], size)
     if np.any(size != size[place][number]) or np.any(cps != cps[there]):  # a collision: tell them apart in full
@@ -224,20 +224,6 @@ def distinct_words(cps: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return place, number
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd factor and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        factor = 0xD6E8FEB86659FD93
-        for k, f in enumerate((factor, pow(factor, -1, 1 << 64))):
-            x = np.full(2 * n, f, dtype=np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x)
-    return [p[:n] for p in _POWERS]
-
-
 class Encoder:
     """Encodes texts with one vocabulary; remembers a bounded number of words."""
 

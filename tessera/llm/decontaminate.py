@@ -54,13 +54,12 @@ _TABLES: dict[str, np.ndarray] = {}
 
 def _tables() -> dict[str, np.ndarray]:
     if not _TABLES:
-        every = [chr(c) for c in range(0x110000)]
-        kind = np.fromiter((1 if c.isalpha() else 2 if c.isdecimal() else 0 for c in every), dtype=np.int8, count=len(every))
+        kind = np.fromiter((1 if c.isalpha() else 2 if c.isdecimal() else 0 for c in map(chr, range(0x110000))), dtype=np.int8, count=0x110000)
         lower = np.arange(0x110000, dtype=np.uint32)
         upper = np.zeros(0x110000, dtype=bool)
         for c in np.flatnonzero(kind == 1).tolist():
-            low = every[c].lower()
-            if low != every[c]:
+            low = chr(c).lower()
+            if low != chr(c):
                 upper[c] = True
                 if len(low) == 1:
                     lower[c] = ord(low)

@@ -28,6 +28,8 @@ PER_CLASS = 1500
 DIMENSIONS = 48
 NEIGHBOURS = 15
 THRESHOLD = 0.7
+#: Text that is turned into term counts at a time.
+SLICE_BYTES = 1 << 20
 #: Weight of a neighbour: its cosine to this power.
 SHARPNESS = 8
 
@@ -200,4 +202,4 @@ def add_score(df: DataFrame, model: Model, text_col: str = "text", score_col: st
     def factory() -> Callable[[list[str]], list[pa.Array]]:
         return lambda texts: [pa.array(scores(texts, shared.value))]
 
-    return append_columns(df, text_col, [T.StructField(score_col, T.DoubleType())], factory)
+    return append_columns(df, text_col, [T.StructField(score_col, T.DoubleType())], factory, SLICE_BYTES)

@@ -9,17 +9,23 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: An odd factor; its powers modulo 2**64 weigh the signs of a word.
 FACTOR = 0xD6E8FEB86659FD93
 
+#: Powers that a worker keeps, 8 bytes each; a longer run of signs has its own made and dropped.
+KEPT = 1 << 21
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def powers(n: int, inverse: bool = False, factor: int = FACTOR) -> np.ndarray:
-    """The first ``n`` powers of ``factor``, or of its inverse, modulo 2**64."""
-    f = pow(factor, -1, 1 << 64) if inverse else factor
-    if len(_POWERS.get(f, ())) < n:
-        x = np.full(max(2 * n, 1 << 16), f, dtype=np.uint64)
-        x[0] = 1
-        _POWERS[f] = np.cumprod(x)
-    return _POWERS[f][:n]
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first ``n`` powers of FACTOR, or of its inverse, modulo 2**64."""
+    f = pow(FACTOR, -1, 1 << 64) if inverse else FACTOR
+    if n <= KEPT and f in _POWERS:
+        return _POWERS[f][:n]
+    x = np.full(max(n, KEPT), f, dtype=np.uint64)
+    x[0] = 1
+    np.cumprod(x, out=x)
+    if n <= KEPT:
+        _POWERS[f] = x
+    return x[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
