@@ -4,10 +4,11 @@ Sampled splitters range-partition the rows by their normalised bytes, Spark's ex
 sort places equal texts next to each other, and a streaming kernel compares each text in
 full with its neighbour.
 
-The sort key is (first 32 bytes of the text, SHA-256 of the text, identifier). The digest
-stands for the remaining bytes, so a splitter has at most 72 bytes and the sample that the
-range partitioner sends to the driver stays small however long the texts are. With the
-identifier last in the key, splitters also fall *inside* a group of copies: a group that
+The sort key is (first 32 bytes of the text, SHA-256 of the text, identifier, place of the row in the
+input). The digest
+stands for the remaining bytes, so a splitter has some 100 bytes and the sample that the
+range partitioner sends to the driver stays small however long the texts are. With identifier
+and place last in the key, splitters also fall *inside* a group of copies: a group that
 holds a third of all rows spans as many partitions as its size asks for, and no task gets
 more than its share. What is known at the end of a partition is only that its first and
 last runs may go on next door; these two runs of each partition ("open") are summed in a
@@ -141,7 +142,7 @@ def exact_groups(
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = only(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), (normalise(text) if normalise else text).alias("text"))
     prefix, sha = _text_key(F.col("text"))
-    rows, keys = rows.withColumns({"prefix": prefix, "sha": sha}), ["prefix", "sha", "doc_id"]
+    rows, keys = rows.withColumns({"prefix": prefix, "sha": sha, "place": F.monotonically_increasing_id()}), ["prefix", "sha", "doc_id", "place"]
     runs = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "sha", "text").mapInArrow(_groups, "doc_id long, sha string, first_id long, last_id long, n long, open boolean"))
     # at most two open runs a partition; their shares are pre-aggregated by the kernel
     opened = runs.where("open").groupBy("sha").agg(F.min("first_id").alias("first_all"), F.max("last_id").alias("last_all"), F.count(F.lit(1)).alias("n_all"))
@@ -157,12 +158,12 @@ def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     The row with the smallest or largest identifier stays; of rows that repeat that
     identifier one stays, and a group without identifiers keeps one row as well.
     """
-    prefix_c, sha_c, part_c, mark_c = (fresh(f"__{x}", df) for x in ("prefix", "sha", "part", "mark"))
+    prefix_c, sha_c, place_c, part_c, mark_c = (fresh(f"__{x}", df) for x in ("prefix", "sha", "place", "part", "mark"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     prefix, sha = _text_key(text)
     id_ = F.col(f"`{id_col}`")
-    order = [F.col(prefix_c), F.col(sha_c), id_.asc_nulls_last() if keep == "smallest" else id_.desc_nulls_last()]
-    rows = df.withColumns({prefix_c: prefix, sha_c: sha})
+    order = [F.col(prefix_c), F.col(sha_c), id_.asc_nulls_last() if keep == "smallest" else id_.desc_nulls_last(), F.col(place_c)]
+    rows = df.withColumns({prefix_c: prefix, sha_c: sha, place_c: F.monotonically_increasing_id()})
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = T.StructType([*df.schema.fields, T.StructField(sha_c, T.StringType()), T.StructField(part_c, T.LongType()), T.StructField(mark_c, T.IntegerType())])
     names = [f.name for f in schema.fields]

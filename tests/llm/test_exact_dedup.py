@@ -60,3 +60,11 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_groups(empty).count() == 0
     assert drop_exact(empty).count() == 0
+
+
+def test_rows_that_cannot_be_told_apart_make_one_group(spark):
+    data = [(None, "the very same row", "en", "s", 1)] * 400 + [(7, "the very same row", "en", "s", 1)] * 400
+    df = spark.createDataFrame(data, SCHEMA).repartition(9)
+    got = exact_groups(df, keep="largest").collect()
+    assert {(r.keep_id, r.group_size) for r in got} == {(7, 800)} and len(got) == 800
+    assert [r.doc_id for r in drop_exact(df).collect()] == [7]
