@@ -6,12 +6,19 @@ white space don't count. Windows of five template words are looked up in a hash
 the benchmark's windows. Hits of a document in an item that lie on one diagonal (document
 position minus item position) are checked for slot consistency: within such an alignment each
 number or name of the item must always stand for the same one in the document and the other way
-round, which a re-parameterised question keeps and a chance likeness doesn't. Coverage counts windows that either form of the text can use.
+round, which a re-parameterised question keeps and a chance likeness doesn't. Coverage is a share of all windows of the item.
 
 A document is contaminated by an item if consistent windows cover at least 0.8 of the item's
 windows, or a consistent run of at least ``RUN`` words is aligned. Texts are also compared
 as plain lower-case words (numbers and units still typed), so that a copy in other case is found.
 
+Windows with fewer than ``LITERALS`` literal words are looked up with their numbers as written.
+An item without any other window has one of them looked up as a template, too. Where this does not
+decide, such windows are compared along each alignment that was found: those with a literal
+by their slots, those without by their values. An item that is aligned from its first to its last
+word, with the same signs between words, is found even so. Items of fewer than five words
+are found where a line equals them, case and signs included.
+
 The benchmark is indexed in blocks of bounded size; each block is broadcast and all documents
 are read against it, so the benchmark may be of any size.
 """
@@ -79,6 +86,8 @@ class Template:
     plain: np.ndarray
     typed: np.ndarray
     slot: np.ndarray  # 0 literal, 1 number, 2 unit, 3 name (in the typed form only)
+    start: np.ndarray  # where the word is in its text
+    end: np.ndarray
 
 
 def templates(texts: list[str]) -> Template:
@@ -116,30 +125,45 @@ def templates(texts: list[str]) -> Template:
         inside = same & (stops[starts[1:]] == stops[ends[:-1]])
         slot[1:][inside & capital[1:] & (slot[1:] == 0)] = 3
     plain = np.where(slot == 1, NUMBER, np.where(slot == 2, UNIT, value))
-    return Template(owner, value, plain, np.where(slot == 3, NAME, plain), slot)
+    return Template(owner, value, plain, np.where(slot == 3, NAME, plain), slot, (starts - bounds[owner]).astype(np.int32), (ends - bounds[owner]).astype(np.int32))
+
+
+#: Forms of a window: names literal, names typed, numbers as written, template with few literals.
+PLAIN, TYPED, EXACT, ANCHOR = range(1, 5)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """How many of the words of each window are true."""
+    total = np.concatenate([[0], np.cumsum(x)])
+    return total[WINDOW:] - total[:-WINDOW]
 
 
-def windows(t: Template) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each form, plain and typed: windows' first words and their hashes."""
+def windows(t: Template) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each form: its number, windows' first words and their hashes."""
     m = len(t.owner) - WINDOW + 1
     if m <= 0:
-        return [(np.zeros(0, np.int64), np.zeros(0, np.uint64))] * 2
+        return []
     whole = t.owner[:m] == t.owner[WINDOW - 1 :]
-    out = []
-    for form, (codes, holes) in enumerate(((t.plain, (t.slot == 1) | (t.slot == 2)), (t.typed, t.slot > 0))):
-        code = np.full(m, form + 1, dtype=np.uint64)
-        literal = np.zeros(m, dtype=np.int8)
-        named = np.zeros(m, dtype=bool)
+
+    def coded(form: int, codes: np.ndarray, use: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(use & whole)
+        code = np.full(len(at), form, dtype=np.uint64)
         for k in range(WINDOW):
-            code = code * _ODD + codes[k : k + m]
-            literal += ~holes[k : k + m]
-            named |= t.slot[k : k + m] == 3
-        use = whole & (literal >= LITERALS)
-        if form:
-            use &= named  # without a name both forms of a window are one
-        at = np.flatnonzero(use)
-        out.append((at, mix(code[at])))
-    return out
+            code = code * _ODD + codes[at + k]
+        code = mix(code)
+        if form == EXACT:  # inside a run of one word only the first window is looked up
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (code[1:] != code[:-1]) | (at[1:] != at[:-1] + 1)
+            at, code = at[new], code[new]
+        return form, at, code
+
+    plain, typed = (WINDOW - _sums(x) for x in ((t.slot == 1) | (t.slot == 2), t.slot > 0))
+    return [
+        coded(PLAIN, t.plain, plain >= LITERALS),
+        coded(TYPED, t.typed, (typed >= LITERALS) & (_sums(t.slot == 3) > 0)),  # without a name both forms of a window are one
+        coded(EXACT, t.value, plain < LITERALS),
+        coded(ANCHOR, t.typed, (typed > 0) & (typed < LITERALS)),
+    ]
 
 
 @dataclass(frozen=True)
@@ -149,30 +173,53 @@ class Index:
     items: np.ndarray  # item number -> item_id
     begins: np.ndarray  # item number -> first word in the block's template
     template: Template
-    n_windows: np.ndarray  # windows of each item, by first word, in either form
+    n_windows: np.ndarray  # windows of each item
     codes: np.ndarray  # sorted
     first: np.ndarray  # first word of each window, by code
     filter: np.ndarray  # which upper bits of a code occur at all
+    literals: dict[int, np.ndarray]  # of items with a window of few literals: literals of each window
+    signs: dict[int, list[str]]  # of the same items: signs before each word but the first
+    short: dict[str, list[int]]  # items of fewer than five words by their text
 
 
 _FILTER_BITS = 22
 
 
+def _between(text: str, start: np.ndarray, end: np.ndarray) -> list[str]:
+    """Signs between words, without blanks."""
+    return ["".join(text[a:b].split()) for a, b in zip(end[:-1].tolist(), start[1:].tolist(), strict=True)]
+
+
 def build_index(item_ids: list[int], texts: list[str]) -> Index:
     t = templates(texts)
-    (a, x), (b, y) = windows(t)
-    at, codes = np.concatenate([a, b]), np.concatenate([x, y])
+    begins = np.searchsorted(t.owner, np.arange(len(texts) + 1))
+    n_windows = np.maximum(np.diff(begins) - WINDOW + 1, 0)
+    short: dict[str, list[int]] = {}
+    for i in np.flatnonzero(n_windows == 0).tolist():
+        if line := " ".join(texts[i].split()):
+            short.setdefault(line, []).append(i)
+    literals, signs, anchors = {}, {}, []
+    typed = WINDOW - _sums(t.slot > 0) if len(t.owner) >= WINDOW else np.zeros(0, np.int64)
+    low = np.flatnonzero(typed < LITERALS)
+    low = low[t.owner[low] == t.owner[low + WINDOW - 1]]
+    for i in np.unique(t.owner[low]).tolist():
+        a, b = int(begins[i]), int(begins[i + 1])
+        literals[i] = typed[a : a + n_windows[i]]
+        signs[i] = _between(texts[i], t.start[a:b], t.end[a:b])
+        if literals[i].max() < LITERALS:
+            anchors.append(a + int(literals[i].argmax()))
+    found = [(at, code) if form != ANCHOR else (at[(keep := np.isin(at, anchors))], code[keep]) for form, at, code in windows(t)]
+    at, codes = (np.concatenate([f[k] for f in found] or [np.zeros(0, kind)]) for k, kind in ((0, np.int64), (1, np.uint64)))
     order = np.lexsort((at, codes))
-    n_windows = np.bincount(t.owner[np.unique(at)], minlength=len(texts)) if len(at) else np.zeros(len(texts), np.int64)
     there = np.zeros(1 << _FILTER_BITS, dtype=bool)
     there[(codes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Index(np.array(item_ids, dtype=np.int64), np.searchsorted(t.owner, np.arange(len(texts))), t, n_windows, codes[order], at[order], there)
+    return Index(np.array(item_ids, dtype=np.int64), begins, t, n_windows, codes[order], at[order], there, literals, signs, short)
 
 
-def _hits(t: Template, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (document word, item word) at which equal windows begin."""
-    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for at, codes in windows(t):
+def _hits(t: Template, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (document word, item word) at which equal windows begin, and the windows' form."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
+    for form, at, codes in windows(t):
         maybe = np.flatnonzero(index.filter[(codes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         if not len(maybe) or not len(index.codes):
             continue
@@ -180,8 +227,8 @@ def _hits(t: Template, index: Index) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = np.searchsorted(index.codes, codes), np.searchsorted(index.codes, codes, side="right")
         n = hi - lo
         flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        found.append((np.repeat(at, n), index.first[flat]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        found.append((np.repeat(at, n), index.first[flat], np.full(len(flat), form)))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
 def _consistent(t: Template, q: Template, doc: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -195,42 +242,83 @@ def _consistent(t: Template, q: Template, doc: np.ndarray, item: np.ndarray) ->
     return ok
 
 
+def _along(t: Template, index: Index, text: str, which: int, diagonal: int, owner: int) -> tuple[set[int], bool, bool]:
+    """Item windows that hold on one diagonal, whether the whole item does, and whether slots changed."""
+    q = index.template
+    words = np.arange(index.begins[which], index.begins[which + 1])
+    spot = words + diagonal
+    inside = (spot >= 0) & (spot < len(t.owner))
+    inside[inside] = t.owner[spot[inside]] == owner
+    words, spot = words[inside], spot[inside]
+    same = q.value[words] == t.value[spot]
+    alike = same | (q.typed[words] == t.typed[spot])
+    alike[alike] = _consistent(t, q, spot[alike], words[alike])
+    fit, equal = (np.zeros(len(inside), dtype=bool) for _ in range(2))
+    fit[inside], equal[inside] = alike, alike & same
+    literals = index.literals[which]
+    holds = (_sums(fit) == WINDOW) & ((literals > 0) | (_sums(equal) == WINDOW))
+    whole = bool(fit.all()) and literals.max() > 0 and _between(text, t.start[spot], t.end[spot]) == index.signs[which]
+    return set((index.begins[which] + np.flatnonzero(holds)).tolist()), whole, bool(np.any(fit & ~equal))
+
+
 def matches(texts: list[str], index: Index) -> list[tuple[int, int, float, int, bool]]:
     """(text number, item number, coverage, longest run in words, slots changed) of contaminated texts."""
     t, q = templates(texts), index.template
-    doc, item = _hits(t, index)
-    if not len(doc):
-        return []
+    doc, item, form = _hits(t, index)
     which, owner, diagonal = q.owner[item], t.owner[doc], doc - item
     order = np.lexsort((item, diagonal, which, owner))
-    doc, item, which, owner, diagonal = (x[order] for x in (doc, item, which, owner, diagonal))
+    doc, item, form, which, owner, diagonal = (x[order] for x in (doc, item, form, which, owner, diagonal))
     keys = np.stack([owner, which, diagonal])
-    heads = np.flatnonzero(np.concatenate([[True], np.any(keys[:, 1:] != keys[:, :-1], axis=0)]))
+    heads = np.flatnonzero(np.concatenate([[True], np.any(keys[:, 1:] != keys[:, :-1], axis=0)])) if len(doc) else doc
     best: dict[tuple[int, int], list] = {}
-    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(doc)], strict=True):
-        begins = np.unique(item[a:b])
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(doc)] if len(doc) else [], strict=True):
+        entry = best.setdefault((int(owner[a]), int(which[a])), [set(), 0, False, []])
+        if int(which[a]) in index.literals:
+            entry[3].append(int(diagonal[a]))
+        begins = np.unique(item[a:b][form[a:b] != ANCHOR])
+        if not len(begins):
+            continue
         words = np.unique(begins[:, None] + np.arange(WINDOW)[None, :])
         fit = _consistent(t, q, words + diagonal[a], words)
         good = set(words[fit].tolist())
         kept = [i for i in begins.tolist() if all(i + k in good for k in range(WINDOW))]
         if not kept:
             continue
-        covered, longest, run = set(), 0, 0
+        telling = set(item[a:b][form[a:b] < EXACT].tolist())
+        longest, run, tells = 0, 0, False  # a run tells something if one of its windows has enough literals
         for k, i in enumerate(kept):
-            run = run + i - kept[k - 1] if k and i - kept[k - 1] <= WINDOW else WINDOW
-            longest = max(longest, run)
-            covered.add(i)
+            near = k and i - kept[k - 1] <= WINDOW
+            run, tells = (run + i - kept[k - 1], tells or i in telling) if near else (WINDOW, i in telling)
+            longest = max(longest, run if tells else 0)
         changed = bool(np.any(q.value[words[fit]] != t.value[words[fit] + diagonal[a]]))
-        entry = best.setdefault((int(owner[a]), int(which[a])), [set(), 0, False])
-        entry[0] |= covered
+        entry[0].update(kept)
         entry[1] = max(entry[1], longest)
         entry[2] |= changed
     out = []
-    for (d, i), (covered, longest, changed) in sorted(best.items()):
-        coverage = len(covered) / int(index.n_windows[i])
+    for (d, i), (covered, longest, changed, diagonals) in best.items():
+        total, whole = int(index.n_windows[i]), False
+        if longest < RUN and len(covered) < COVERAGE * total:
+            for line in diagonals:
+                more, all_, other = _along(t, index, texts[d], i, line, d)
+                covered |= more
+                whole |= all_
+                changed |= other and (all_ or bool(more))
+        coverage = 1.0 if whole else len(covered) / total
         if coverage >= COVERAGE or longest >= RUN:
-            out.append((d, i, coverage, longest, changed))
-    return out
+            out.append((d, i, coverage, max(longest, int(index.begins[i + 1] - index.begins[i]) if whole else 0), changed))
+    return sorted(out + _short(texts, index))
+
+
+def _short(texts: list[str], index: Index) -> list[tuple[int, int, float, int, bool]]:
+    """Matches of items of fewer than five words: lines that equal them but for white space."""
+    if not index.short:
+        return []
+    out = set()
+    for d, text in enumerate(texts):
+        for line in text.split("\n"):
+            for i in index.short.get(" ".join(line.split()), ()):
+                out.add((d, i, 1.0, int(index.begins[i + 1] - index.begins[i]), False))
+    return list(out)
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
@@ -248,8 +336,8 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, coverage, run_words, reparameterised) of every contaminated document and item.
 
-    A document in no pair is clean. Null texts, empty texts and items of fewer than five words
-    match nothing; a null item_id is reported as -1. Repeated document rows give repeated rows,
+    A document in no pair is clean. Null texts and texts without any sign match nothing; items of
+    fewer than five words match lines that equal them; a null item_id is reported as -1. Repeated document rows give repeated rows,
     repeated items (same item_id and text) count once. Either table may be empty.
     """
     rows = only(docs, doc_id=id_col, text=text_col).where("text IS NOT NULL")

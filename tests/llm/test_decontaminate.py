@@ -143,3 +143,26 @@ def test_empty_tables(spark, case):
     assert d.contaminated(df.limit(0), bench).count() == 0
     assert d.contaminated(df, bench.limit(0)).count() == 0
     assert d.drop_contaminated(df, bench.limit(0)).count() == len(docs)
+
+
+def found_in(item, *texts):
+    index = d.build_index([1], [item])
+    return [bool(d.matches([text], index)) for text in texts]
+
+
+def test_items_of_numbers_and_names_are_found():
+    sums = "Compute 3 + 4 * 5 - 6 / 7"
+    assert found_in(sums, "We said: " + sums + ", then left.", "compute 3 + 4 * 5 - 6 / 7", "Now compute 9 + 2 * 8 - 1 / 4 here", "compute 9, 2, 8, 1 and 4", "compute 3 5") == [True, True, True, False, False]
+    assert found_in("3 4 5 6 7 8", "so 3, 4, 5, 6, 7, 8.", "1 4 5 6 7 9") == [True, False]
+    names = "Did Alice Bob Carol Dave Erin meet Frank Grace Heidi?"
+    assert found_in(names, names, "did Mary Tom Jane Paul Rita meet Sven Nora Olaf?", "did Mary Tom Jane Paul Mary go Sven Nora Olaf?") == [True, True, False]
+    assert found_in("0 " * 3000, "0 " * 3000, "0 1 " * 3000) == [True, False]
+
+
+def test_one_telling_window_is_not_the_whole_item():
+    item = "Find the sum of all 3 4 5 6 7 8 9 10"
+    assert found_in(item, "Find the sum of all 3 8 1 things", item.upper(), "Find the sum of all parts") == [False, True, False]
+
+
+def test_short_items_are_lines():
+    assert found_in("What is 3 + 4?", "Quiz:\n  What is  3 + 4?\nseven", "What is 3 + 5?", "what is 3 + 4?") == [True, False, False]
