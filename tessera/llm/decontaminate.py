@@ -5,8 +5,9 @@ capitalised words inside a sentence <name>; all other words are lower-cased, and
 white space don't count. Windows of five template words are looked up in a hash table of
 the benchmark's windows. Hits of a document in an item that lie on one diagonal (document
 position minus item position) are checked for slot consistency: within such an alignment each
-number or name of the item must always stand for the same one in the document and the other way
-round, which a re-parameterised question keeps and a chance likeness doesn't. Coverage is a share of all windows of the item.
+number or name of the item must always stand for the same one in the document, which a
+re-parameterised question keeps and a chance likeness doesn't; two of the item may become one.
+Capitalised words that begin a sentence may be names or not, so they count as both. Coverage is a share of all windows of the item.
 
 A document is contaminated by an item if consistent windows cover at least 0.8 of the item's
 windows, or a consistent run of at least ``RUN`` words is aligned. Texts are also compared
@@ -86,6 +87,8 @@ class Template:
     plain: np.ndarray
     typed: np.ndarray
     slot: np.ndarray  # 0 literal, 1 number, 2 unit, 3 name (in the typed form only)
+    loose: np.ndarray  # typed, with capitalised words that begin a sentence as names, too
+    first: np.ndarray  # which words these are
     start: np.ndarray  # where the word is in its text
     end: np.ndarray
 
@@ -114,22 +117,27 @@ def templates(texts: list[str]) -> Template:
     low = t["lower"][cps]
     value = word_hashes(low, starts, ends)
     slot = np.where(number, 1, 0)
+    first = np.zeros(len(starts), dtype=bool)
+    if len(starts):
+        upper = t["upper"][cps]
+        capital = upper[starts] & ~upper[np.minimum(starts + 1, n - 1)] & (ends - starts > 1)
     if len(starts) > 1:
         known = t["units"]
         unit = number[:-1] & same & (starts[1:] - ends[:-1] <= 1)
         unit[unit] = known[np.minimum(np.searchsorted(known, value[1:][unit]), len(known) - 1)] == value[1:][unit]
         slot[1:][unit] = 2
-        upper = t["upper"][cps]
-        capital = upper[starts] & ~upper[np.minimum(starts + 1, n - 1)] & (ends - starts > 1)
         stops = np.concatenate([[0], np.cumsum(t["ends"][cps])])
         inside = same & (stops[starts[1:]] == stops[ends[:-1]])
         slot[1:][inside & capital[1:] & (slot[1:] == 0)] = 3
+    if len(starts):
+        first = capital & (slot == 0)
     plain = np.where(slot == 1, NUMBER, np.where(slot == 2, UNIT, value))
-    return Template(owner, value, plain, np.where(slot == 3, NAME, plain), slot, (starts - bounds[owner]).astype(np.int32), (ends - bounds[owner]).astype(np.int32))
+    typed = np.where(slot == 3, NAME, plain)
+    return Template(owner, value, plain, typed, slot, np.where(first, NAME, typed), first, (starts - bounds[owner]).astype(np.int32), (ends - bounds[owner]).astype(np.int32))
 
 
-#: Forms of a window: names literal, names typed, numbers as written, template with few literals.
-PLAIN, TYPED, EXACT, ANCHOR = range(1, 5)
+#: Forms of a window: names literal, names typed, these and first words of sentences typed, numbers as written, template with few literals.
+PLAIN, TYPED, LOOSE, EXACT, ANCHOR = range(1, 6)
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
@@ -147,7 +155,7 @@ def windows(t: Template) -> list[tuple[int, np.ndarray, np.ndarray]]:
 
     def coded(form: int, codes: np.ndarray, use: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
         at = np.flatnonzero(use & whole)
-        code = np.full(len(at), form, dtype=np.uint64)
+        code = np.full(len(at), TYPED if form == LOOSE else form, dtype=np.uint64)  # a name at a sentence's start is one inside
         for k in range(WINDOW):
             code = code * _ODD + codes[at + k]
         code = mix(code)
@@ -157,12 +165,14 @@ def windows(t: Template) -> list[tuple[int, np.ndarray, np.ndarray]]:
             at, code = at[new], code[new]
         return form, at, code
 
-    plain, typed = (WINDOW - _sums(x) for x in ((t.slot == 1) | (t.slot == 2), t.slot > 0))
+    plain, typed, loose = (WINDOW - _sums(x) for x in ((t.slot == 1) | (t.slot == 2), t.slot > 0, (t.slot > 0) | t.first))
     return [
         coded(PLAIN, t.plain, plain >= LITERALS),
         coded(TYPED, t.typed, (typed >= LITERALS) & (_sums(t.slot == 3) > 0)),  # without a name both forms of a window are one
+        coded(LOOSE, t.loose, (loose >= LITERALS) & (_sums(t.first) > 0)),
         coded(EXACT, t.value, plain < LITERALS),
-        coded(ANCHOR, t.typed, (typed > 0) & (typed < LITERALS)),
+        coded(ANCHOR, t.loose, (loose > 0) & (loose < LITERALS)),
+        coded(ANCHOR, t.typed, (typed > 0) & (typed < LITERALS) & (_sums(t.first) > 0)),
     ]
 
 
@@ -177,8 +187,7 @@ class Index:
     codes: np.ndarray  # sorted
     first: np.ndarray  # first word of each window, by code
     filter: np.ndarray  # which upper bits of a code occur at all
-    literals: dict[int, np.ndarray]  # of items with a window of few literals: literals of each window
-    signs: dict[int, list[str]]  # of the same items: signs before each word but the first
+    signs: dict[int, list[str]]  # of items with a window of few literals: signs before each word but the first
     short: dict[str, list[int]]  # items of fewer than five words by their text
 
 
@@ -198,22 +207,21 @@ def build_index(item_ids: list[int], texts: list[str]) -> Index:
     for i in np.flatnonzero(n_windows == 0).tolist():
         if line := " ".join(texts[i].split()):
             short.setdefault(line, []).append(i)
-    literals, signs, anchors = {}, {}, []
-    typed = WINDOW - _sums(t.slot > 0) if len(t.owner) >= WINDOW else np.zeros(0, np.int64)
-    low = np.flatnonzero(typed < LITERALS)
+    signs, anchors = {}, []
+    typed, loose = (WINDOW - _sums(x) if len(x) >= WINDOW else np.zeros(0, np.int64) for x in (t.slot > 0, (t.slot > 0) | t.first))
+    low = np.flatnonzero(loose < LITERALS)
     low = low[t.owner[low] == t.owner[low + WINDOW - 1]]
     for i in np.unique(t.owner[low]).tolist():
         a, b = int(begins[i]), int(begins[i + 1])
-        literals[i] = typed[a : a + n_windows[i]]
         signs[i] = _between(texts[i], t.start[a:b], t.end[a:b])
-        if literals[i].max() < LITERALS:
-            anchors.append(a + int(literals[i].argmax()))
+        if loose[a : a + n_windows[i]].max() < LITERALS:
+            anchors += [a + int(x[a : a + n_windows[i]].argmax()) for x in (typed, loose)]
     found = [(at, code) if form != ANCHOR else (at[(keep := np.isin(at, anchors))], code[keep]) for form, at, code in windows(t)]
     at, codes = (np.concatenate([f[k] for f in found] or [np.zeros(0, kind)]) for k, kind in ((0, np.int64), (1, np.uint64)))
     order = np.lexsort((at, codes))
     there = np.zeros(1 << _FILTER_BITS, dtype=bool)
     there[(codes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Index(np.array(item_ids, dtype=np.int64), begins, t, n_windows, codes[order], at[order], there, literals, signs, short)
+    return Index(np.array(item_ids, dtype=np.int64), begins, t, n_windows, codes[order], at[order], there, signs, short)
 
 
 def _hits(t: Template, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,13 +240,16 @@ def _hits(t: Template, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _consistent(t: Template, q: Template, doc: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Which aligned words keep slots consistent: the first binding of a value counts."""
+    """Which aligned words keep slots consistent: the first binding of a value counts.
+
+    The first word of a sentence is a literal where the document has it, too, else a name.
+    """
     ok = np.ones(len(doc), dtype=bool)
     there: dict[tuple, int] = {}
-    back: dict[tuple, int] = {}
-    for k in np.flatnonzero((q.slot[item] == 1) | (q.slot[item] == 3)).tolist():
-        a, b, kind = int(q.value[item[k]]), int(t.value[doc[k]]), int(q.slot[item[k]])
-        ok[k] = there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
+    slot = np.where(q.first[item] & (q.value[item] != t.value[doc]), 3, q.slot[item])
+    for k in np.flatnonzero((slot == 1) | (slot == 3)).tolist():
+        b = int(t.value[doc[k]])
+        ok[k] = there.setdefault((int(slot[k]), int(q.value[item[k]])), b) == b
     return ok
 
 
@@ -251,13 +262,12 @@ def _along(t: Template, index: Index, text: str, which: int, diagonal: int, owne
     inside[inside] = t.owner[spot[inside]] == owner
     words, spot = words[inside], spot[inside]
     same = q.value[words] == t.value[spot]
-    alike = same | (q.typed[words] == t.typed[spot])
+    alike = same | (q.loose[words] == t.loose[spot])
     alike[alike] = _consistent(t, q, spot[alike], words[alike])
-    fit, equal = (np.zeros(len(inside), dtype=bool) for _ in range(2))
-    fit[inside], equal[inside] = alike, alike & same
-    literals = index.literals[which]
-    holds = (_sums(fit) == WINDOW) & ((literals > 0) | (_sums(equal) == WINDOW))
-    whole = bool(fit.all()) and literals.max() > 0 and _between(text, t.start[spot], t.end[spot]) == index.signs[which]
+    fit, equal, literal = (np.zeros(len(inside), dtype=bool) for _ in range(3))
+    fit[inside], equal[inside], literal[inside] = alike, alike & same, alike & same & (q.slot[words] == 0)
+    holds = (_sums(fit) == WINDOW) & ((_sums(literal) > 0) | (_sums(equal) == WINDOW))
+    whole = bool(fit.all()) and bool(literal.any()) and _between(text, t.start[spot], t.end[spot]) == index.signs[which]
     return set((index.begins[which] + np.flatnonzero(holds)).tolist()), whole, bool(np.any(fit & ~equal))
 
 
@@ -273,7 +283,7 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int, float, int,
     best: dict[tuple[int, int], list] = {}
     for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(doc)] if len(doc) else [], strict=True):
         entry = best.setdefault((int(owner[a]), int(which[a])), [set(), 0, False, []])
-        if int(which[a]) in index.literals:
+        if int(which[a]) in index.signs:
             entry[3].append(int(diagonal[a]))
         begins = np.unique(item[a:b][form[a:b] != ANCHOR])
         if not len(begins):
