@@ -1,8 +1,10 @@
 """Quality classification by nearest-neighbour voting in a latent semantic space.
 
-The terms of a text are the trigrams of its shape (each sign's class, with runs of lower-case
-letters, digits and blanks drawn together) and the words that repeat one of the two words before
-them. Term counts are damped, weighted by inverse document frequency and projected on the leading
+The terms of a text are its words (runs of letters in lower case, single signs of Chinese,
+Japanese and Korean), hashed to ``WORDS`` numbers, the trigrams of its shape (each sign's class,
+with runs of lower-case letters, digits and blanks drawn together) and the words that repeat one
+of the two words before them. Term counts are damped, weighted by inverse document frequency,
+brought to one length for the words and one for the rest, and projected on the leading
 singular vectors of a bounded, class-balanced sample of labelled texts. The sample's latent
 vectors are broadcast (their size is fixed by ``PER_CLASS`` and ``DIMENSIONS``); each document's
 exact cosine to all of them comes from blocked matrix products, and the labels of the nearest
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.batches import append_columns, flat_codepoints, only
-from tessera.llm.words import word_spans, word_hashes
+from tessera.llm.words import runs, word_spans, word_hashes
 
 #: Labelled texts of each class that a fit uses at most.
 PER_CLASS = 1500
@@ -39,6 +41,10 @@ LOWER, UPPER, LETTER, OTHER = range(len(SIGNS), len(SIGNS) + 4)
 CLASSES = len(SIGNS) + 4
 JOINED = (1, 2, LOWER, LETTER)
 TERMS = CLASSES**3 + 2
+#: Numbers that words are hashed to; they come after the TERMS of shape and repetition.
+WORDS = 1 << 13
+#: The first sign of the scripts whose words aren't parted by blanks.
+UNPARTED = 0x3000
 
 
 def _sign_table() -> np.ndarray:
@@ -85,12 +91,44 @@ def term_counts(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _lower_table() -> np.ndarray:
+    table = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x3000):
+        if len(low := chr(c).lower()) == 1:
+            table[c] = ord(low)
+    return table
+
+
+def word_counts(texts: list[str]) -> np.ndarray:
+    """Counts (texts x WORDS) of hashed words."""
+    if not _TABLE:
+        _TABLE.append(_sign_table())
+    if len(_TABLE) < 2:
+        _TABLE.append(_lower_table())
+    n = len(texts)
+    cps, bounds = flat_codepoints(texts)
+    if not len(cps):
+        return np.zeros((n, WORDS), dtype=np.float32)
+    letter = np.isin(_TABLE[0][cps], (LOWER, UPPER, LETTER))
+    alone = np.flatnonzero(letter & (cps >= UNPARTED))
+    starts, ends = runs(letter & (cps < UNPARTED), bounds)
+    starts, ends = np.concatenate([starts, alone]), np.concatenate([ends, alone + 1])
+    code = (word_hashes(_TABLE[1][cps], starts, ends) % np.uint64(WORDS)).astype(np.int64)
+    owner = np.searchsorted(bounds, starts, side="right") - 1
+    return np.bincount(owner * WORDS + code, minlength=n * WORDS).reshape(n, WORDS).astype(np.float32)
+
+
+def all_counts(texts: list[str]) -> np.ndarray:
+    """Counts (texts x TERMS + WORDS) of all terms."""
+    return np.hstack([term_counts(texts), word_counts(texts)])
+
+
 @dataclass(frozen=True)
 class Model:
     """What scoring needs; its size depends on the parameters of the fit alone."""
 
-    weights: np.ndarray  # TERMS
-    axes: np.ndarray  # TERMS x dimensions
+    weights: np.ndarray  # TERMS, and WORDS if the fit had them
+    axes: np.ndarray  # as many x dimensions
     vectors: np.ndarray  # labelled texts x dimensions, unit length
     labels: np.ndarray
     mass: np.ndarray  # labelled texts that each vector stands for, as the sample is class-balanced
@@ -98,9 +136,12 @@ class Model:
 
 
 def _weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    x = np.sqrt(counts) * weights
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
+    x = np.sqrt(counts)
+    x *= weights
+    for part in (x[:, :TERMS], x[:, TERMS:]):  # words and the rest weigh the same
+        norm = np.linalg.norm(part, axis=1, keepdims=True)
+        part /= np.where(norm > 0, norm, 1)
+    return x
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -119,7 +160,7 @@ def fit_counts(counts: np.ndarray, labels: np.ndarray, prior: float, dimensions:
     x = _weighted(counts, weights)
     # leading right singular vectors by subspace iteration from a fixed start
     k = min(dimensions, n) if n else 1
-    q = np.linalg.qr(x.T @ np.random.default_rng(7).standard_normal((n, k + 8)).astype(np.float32))[0] if n else np.zeros((TERMS, 1), np.float32)
+    q = np.linalg.qr(x.T @ np.random.default_rng(7).standard_normal((n, k + 8)).astype(np.float32))[0] if n else np.zeros((counts.shape[1], 1), np.float32)
     for _ in range(6 if n else 0):
         q = np.linalg.qr(x.T @ (x @ q))[0]
     share = labels.mean() if n else 0.5
@@ -135,8 +176,9 @@ def scores(texts: list[str], model: Model, neighbours: int = NEIGHBOURS, block:
     k = min(neighbours, len(model.labels))
     if not k:
         return out
+    count = all_counts if len(model.weights) > TERMS else term_counts
     for at in range(0, len(texts), block):
-        v = _unit(_weighted(term_counts(texts[at : at + block]), model.weights) @ model.axes)
+        v = _unit(_weighted(count(texts[at : at + block]), model.weights) @ model.axes)
         cosine = v @ model.vectors.T
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** SHARPNESS * model.mass[near]
@@ -174,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         def kernel(batch: list[str]) -> list[pa.Array]:
             lists: list[list] = [[], []]
             for k in range(0, len(batch), 64):
-                for row in term_counts(batch[k : k + 64]):
+                for row in all_counts(batch[k : k + 64]):
                     at = np.flatnonzero(row)
                     lists[0].append(at)
                     lists[1].append(row[at])
@@ -185,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     fields = [T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.FloatType()))]
     sample = append_columns(texts, "text", fields, factory).drop("text")
     rows = sorted(sample.limit(4 * per_class).collect(), key=lambda r: (r["label"], r["draw"], r["doc_id"], r["terms"], r["counts"]))
-    counts = np.zeros((len(rows), TERMS), dtype=np.float32)
+    counts = np.zeros((len(rows), TERMS + WORDS), dtype=np.float32)
     for k, r in enumerate(rows):
         counts[k, r["terms"]] = r["counts"]
     return fit_counts(counts, np.array([r["label"] for r in rows], dtype=np.float32), sizes.get(1, 0) / sum(sizes.values()))

@@ -100,3 +100,21 @@ def test_empty_tables(spark):
     assert quality.add_score(df.limit(0), model).count() == 0
     one = quality.fit(df, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
     assert quality.add_score(df, one).first().score in (0.0, 1.0, one.prior)
+
+
+def test_words_tell_texts_of_one_shape_apart(spark):
+    rnd = random.Random(4)
+    good, bad = "rivers carry silt toward wide plains while farmers watch".split(), "casino bonus cheap loans poker pills winner jackpot deals".split()
+    prose = lambda words: ". ".join(" ".join(rnd.choices(words, k=8)).capitalize() for _ in range(rnd.randint(2, 6))) + "."
+    docs = [(i, prose(good if i % 2 else bad), 9, "x") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = quality.fit(spark.createDataFrame(docs, DOCS), labels)
+    tested = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 4 == 2]
+    got = quality.scores([d[1] for d in tested], model)
+    assert np.mean((got >= 0.5) == [d[0] % 2 for d in tested]) > 0.97
+
+
+def test_word_counts_equal_plain_counting():
+    got = quality.word_counts(["Ab ab, c3AB éÉ", "", "中文中", "AB"])
+    assert got.sum(axis=1).tolist() == [5, 0, 3, 1] and sorted(got[0][got[0] > 0].tolist()) == [1, 1, 3]
+    assert got[0] @ got[3] == 3 and sorted(got[2][got[2] > 0].tolist()) == [1, 2]
