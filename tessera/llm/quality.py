@@ -196,8 +196,8 @@ def held_out(id_: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
     """Fit on at most ``per_class`` labelled, not held-out texts of each label 0 and 1.
 
-    The sample is drawn by a hash of the identifier, so it is the same wherever it runs; only
-    its term counts reach the driver. Null labels and other labels are left out.
+    The sample is drawn by a hash of the identifier, so it is the same wherever it runs; of an
+    identifier with several texts one is drawn by its hash. Only the sample's term counts reach the driver. Null labels and other labels are left out.
     """
     marked = only(labels, doc_id=id_col, label=label_col).where("label IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).distinct()
     sizes = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -210,7 +210,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         # a little more than wanted is drawn without any sort, then cut to the bound
         part = part.where(F.col("draw") < int(min(1.0, 1.2 * per_class / n) * (1 << 30))).orderBy("draw", "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = only(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").select("label", "draw", "doc_id", "text")
+    texts = only(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id")
+    # one text of an identifier that repeats, the least by hash
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).getField("text")
+    texts = texts.groupBy("label", "draw", "doc_id").agg(least.alias("text"))
 
     def factory() -> Callable[[list[str]], list[pa.Array]]:
         def kernel(batch: list[str]) -> list[pa.Array]:
@@ -226,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     fields = [T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.FloatType()))]
     sample = append_columns(texts, "text", fields, factory).drop("text")
-    rows = sorted(sample.limit(4 * per_class).collect(), key=lambda r: (r["label"], r["draw"], r["doc_id"], r["terms"], r["counts"]))
+    rows = sorted(sample.collect(), key=lambda r: (r["label"], r["draw"], r["doc_id"], r["terms"], r["counts"]))
     counts = np.zeros((len(rows), TERMS + WORDS), dtype=np.float32)
     for k, r in enumerate(rows):
         counts[k, r["terms"]] = r["counts"]

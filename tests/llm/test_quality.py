@@ -118,3 +118,14 @@ def test_word_counts_equal_plain_counting():
     got = quality.word_counts(["Ab ab, c3AB éÉ", "", "中文中", "AB"])
     assert got.sum(axis=1).tolist() == [5, 0, 3, 1] and sorted(got[0][got[0] > 0].tolist()) == [1, 1, 3]
     assert got[0] @ got[3] == 3 and sorted(got[2][got[2] > 0].tolist()) == [1, 2]
+
+
+def test_repeated_identifiers_crowd_nothing_out(spark):
+    docs, labels = data(60)
+    chosen = next(i for i, *_ in docs if zlib.crc32(str(i).encode()) % 4 != 2)
+    many = docs + [(chosen, f"Copy {k} of it.", 9, "x") for k in range(200)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    a, b = (quality.fit(spark.createDataFrame(many, DOCS).repartition(n), table, per_class=40) for n in (1, 7))
+    learnt = [y for i, y, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(a.labels) == sorted(b.labels) == sorted(learnt)
+    assert np.allclose(a.vectors @ a.vectors.T, b.vectors @ b.vectors.T, atol=1e-3)
