@@ -7,9 +7,10 @@ notices. Each line of a text is looked up as well, as a text of its own, so that
 longer document is found.
 
 The known texts are a short list that comes with the operator, so its side of the join is
-broadcast; a longer list passed as a DataFrame is joined as Spark sees fit. Only texts that
-have one of the ``STEMS`` are put into canonical form at all: each known text has one, and
-canonical form neither makes nor removes them, so no match can be lost.
+broadcast; a longer list passed as a DataFrame is joined as Spark sees fit. Canonical form is dear,
+so with the short list only texts are put into it whose *skeleton* is that of a known text: what
+is left, copyright lines aside, of the signs that no rule of spelling writes, removes or changes. Texts
+with one canonical form have one skeleton, so no match is lost (tested).
 """
 
 from __future__ import annotations
@@ -52,8 +53,21 @@ Unless required by applicable law or agreed to in writing, software distributed
     "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
     "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License.",
 }
-#: What every text worth canonical form has, in lower case.
-STEMS = ["licen", "permi", "warrant", "copyright"]
+# the three-clause licence is the two-clause one with a clause more
+KNOWN["BSD-3-Clause"] = KNOWN["BSD-2-Clause"].replace(
+    "\nTHIS SOFTWARE",
+    "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE",
+)
+# two licences that leave out a condition of another one
+KNOWN["0BSD"] = KNOWN["ISC"].replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
+KNOWN["MIT-0"] = KNOWN["MIT"].split("\n")[0].replace(", subject to the following conditions:", ".") + "\n" + KNOWN["MIT"].split("\n")[2]
+KNOWN["Unlicense"] = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <http://unlicense.org/>"""
+#: What each alternative of COPYRIGHT_LINE has, so lines without any need no search.
+HOLDER_SIGNS = ["copyright", "(c)", "©", "all rights reserved"]
 #: Lines that name a holder, in lower case, up to the end of the line.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright *(\(c\)|©|[0-9<\[])|\(c\) *[0-9]|©|all rights reserved)[^\n]*"
 #: Spellings that count as one, applied in this order to lower-case text.
@@ -68,20 +82,36 @@ SPELLINGS = [
     (r"https?://", r"http://"),
     (r"\bv(er|ersion)?\.? *([0-9])", r"version \2"),
 ]
+#: Signs that none of SPELLINGS writes, removes or changes; canonical form keeps them all.
+UNTOUCHED = "abfgjkmpqtxy0123456789"
 
 
 def _java(replacement: str) -> str:
     return re.sub(r"\\(\d)", r"$\1", replacement)
 
 
+def _without_holders(text: Column) -> Column:
+    """The text in lower case, without copyright lines."""
+    low = F.lower(text)
+    some = F.contains(low, F.lit(HOLDER_SIGNS[0]))
+    for sign in HOLDER_SIGNS[1:]:
+        some = some | F.contains(low, F.lit(sign))
+    return F.when(some, F.regexp_replace(low, COPYRIGHT_LINE, "\n")).otherwise(low)
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of an entire text."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    out = _without_holders(text)
     for pattern, replacement in SPELLINGS:
         out = F.regexp_replace(out, pattern, _java(replacement))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
+def skeleton(text: Column) -> Column:
+    """The untouched signs of a text; equal for texts with one canonical form."""
+    return F.regexp_replace(_without_holders(text), f"[^{UNTOUCHED}]+", "")
+
+
 def canonical_sql(text: str) -> str:
     """The same in DuckDB's SQL."""
     out = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', chr(10), 'g')"
@@ -90,60 +120,67 @@ def canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
-def _digest(text: Column) -> Column:
-    """Digest of the canonical form; null where no licence can be."""
+def _digest(text: Column, skeletons: list[str] | None = None) -> Column:
+    """Digest of the canonical form; null for an empty one and for skeletons that no known text has."""
     form = canonical(text)
-    return F.when(F.lower(text).rlike("|".join(STEMS)), F.when(form != "", F.sha2(form, 256)))
+    digest = F.when(form != "", F.sha2(form, 256))
+    return digest if skeletons is None else F.when(skeleton(text).isin(skeletons), digest)
+
+
+def _texts(spark: SparkSession, known: dict[str, str] | DataFrame | None) -> DataFrame:
+    """(licence_id, text) of the known texts."""
+    if isinstance(known, DataFrame):
+        return known.select("licence_id", "text")
+    pairs = [F.struct(F.lit(k).alias("licence_id"), F.lit(v).alias("text")) for k, v in (KNOWN if known is None else known).items()]
+    return spark.range(1).select(F.inline(F.array(*pairs))) if pairs else spark.createDataFrame([], "licence_id string, text string")
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """(digest, licence_id); of names with one canonical text the first in order counts."""
-    if known is None or isinstance(known, dict):
-        pairs = F.array(*(F.struct(F.lit(k).alias("licence_id"), F.lit(v).alias("text")) for k, v in (known or KNOWN).items()))
-        frame = spark.range(1).select(F.inline(pairs))
-    else:
-        frame = known.select("licence_id", "text")
-    return frame.select("licence_id", _digest(F.col("text")).alias("digest")).where("digest IS NOT NULL AND licence_id IS NOT NULL").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
+    rows = _texts(spark, known).select("licence_id", _digest(F.col("text")).alias("digest"))
+    return rows.where("digest IS NOT NULL AND licence_id IS NOT NULL").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, licence_id, notices.
 
     licence_id names the known text that the entire text equals in canonical form, or is null;
-    notices lists the names that single lines equal, sorted, once each ("" if none). Null,
-    empty and very long texts, repeated rows and other columns need no care; an empty table
-    gives an empty result, an empty list of known texts finds nothing. Known texts without
-    any of ``STEMS`` can't be found.
+    notices lists the names that single lines equal, sorted, once each ("" if none). Null and
+    empty texts match nothing; texts of any length, repeated rows and other columns need no care;
+    an empty table gives an empty result, an empty list of known texts finds nothing. A known text
+    whose canonical form is empty can't be found.
     """
     spark = df.sparkSession
-    digests = known_digests(spark, known)
-    if not isinstance(known, DataFrame):
+    digests, skeletons = known_digests(spark, known), None
+    if not isinstance(known, DataFrame):  # a short list by its type: it came with the plan
         digests = F.broadcast(digests)
+        skeletons = sorted({r[0] for r in _texts(spark, known).select(skeleton(F.col("text"))).collect()})
     rows = only(df, doc_id=id_col, text=text_col)
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.lower(x).rlike("|".join(STEMS)))
-    marked = rows.select("doc_id", _digest(F.col("text")).alias("digest"), F.array_compact(F.array_distinct(F.transform(lines, _digest))).alias("line_digests"))
+    line_digests = F.transform(F.split("text", "\n", -1), lambda x: _digest(x, skeletons))
+    marked = rows.select("doc_id", _digest(F.col("text"), skeletons).alias("digest"), F.array_compact(F.array_distinct(line_digests)).alias("line_digests"))
     whole = marked.join(digests, "digest", "left").select("doc_id", "licence_id", "line_digests")
     if isinstance(known, DataFrame):
         sets = whole.select("line_digests").where(F.size("line_digests") > 0).distinct()
         found = sets.select("line_digests", F.explode("line_digests").alias("digest")).join(digests, "digest").groupBy("line_digests").agg(F.sort_array(F.collect_set("licence_id")).alias("names"))
         return whole.join(found, "line_digests", "left").select("doc_id", "licence_id", F.coalesce(F.array_join("names", ","), F.lit("")).alias("notices"))
-    # the short list in one row beside each document: a hash lookup for each line's digest
-    table = digests.agg(F.map_from_entries(F.collect_list(F.struct("digest", "licence_id"))).alias("table"))
-    names = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("line_digests", F.array()), lambda x: F.try_element_at("table", x)), lambda n: n.isNotNull())))
-    return whole.join(F.broadcast(table)).select("doc_id", "licence_id", F.array_join(names, ",").alias("notices"))
+    # the short list as a literal: a lookup for each line's digest
+    table = [F.lit(x) for r in digests.collect() for x in (r["digest"], r["licence_id"])]
+    if not table:
+        return whole.select("doc_id", "licence_id", F.lit("").alias("notices"))
+    names = F.transform(F.coalesce("line_digests", F.array()), lambda x: F.try_element_at(F.create_map(*table), x))
+    return whole.select("doc_id", "licence_id", F.array_join(F.array_sort(F.array_distinct(F.filter(names, lambda n: n.isNotNull()))), ",").alias("notices"))
 
 
 def scan_sql(table: str = "documents") -> str:
     """``scan`` with the built-in list, in DuckDB's SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in KNOWN.items())
-    stems = "|".join(STEMS)
     return f"""
     WITH k AS (SELECT min(id) AS licence_id, {canonical_sql("t")} AS form FROM (VALUES {known}) v(id, t) GROUP BY form),
     l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {table}),
     n AS (SELECT l.doc_id, string_agg(DISTINCT k.licence_id, ',' ORDER BY k.licence_id) AS notices
-          FROM l JOIN k ON {canonical_sql("l.line")} = k.form WHERE regexp_matches(lower(l.line), '{stems}') GROUP BY l.doc_id)
+          FROM l JOIN k ON {canonical_sql("l.line")} = k.form GROUP BY l.doc_id)
     SELECT d.doc_id, k.licence_id, coalesce(n.notices, '') AS notices
     FROM {table} d LEFT JOIN n ON n.doc_id = d.doc_id
-    LEFT JOIN k ON regexp_matches(lower(d.text), '{stems}') AND {canonical_sql("d.text")} = k.form
+    LEFT JOIN k ON {canonical_sql("d.text")} = k.form
     """
