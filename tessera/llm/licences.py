@@ -10,7 +10,8 @@ The known texts are a short list that comes with the operator, so its side of th
 broadcast; a longer list passed as a DataFrame is joined as Spark sees fit. Canonical form is dear,
 so with the short list only texts are put into it whose *skeleton* is that of a known text: what
 is left, copyright lines aside, of the signs that no rule of spelling writes, removes or changes. Texts
-with one canonical form have one skeleton, so no match is lost (tested).
+with one canonical form have one skeleton, so no match is lost (tested). The skeleton of a text's
+beginning begins the skeleton of the text, so most texts are settled by their first ``PROBE`` signs.
 """
 
 from __future__ import annotations
@@ -84,32 +85,48 @@ SPELLINGS = [
 ]
 #: Signs that none of SPELLINGS writes, removes or changes; canonical form keeps them all.
 UNTOUCHED = "abfgjkmpqtxy0123456789"
+#: Signs of a text's beginning whose skeleton is looked at before the whole text's.
+PROBE = 64
 
 
 def _java(replacement: str) -> str:
     return re.sub(r"\\(\d)", r"$\1", replacement)
 
 
-def _without_holders(text: Column) -> Column:
-    """The text in lower case, without copyright lines."""
-    low = F.lower(text)
+def _without_holders(low: Column) -> Column:
+    """A text in lower case without its copyright lines."""
     some = F.contains(low, F.lit(HOLDER_SIGNS[0]))
     for sign in HOLDER_SIGNS[1:]:
         some = some | F.contains(low, F.lit(sign))
     return F.when(some, F.regexp_replace(low, COPYRIGHT_LINE, "\n")).otherwise(low)
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of an entire text."""
-    out = _without_holders(text)
+def _canonical(low: Column) -> Column:
+    out = _without_holders(low)
     for pattern, replacement in SPELLINGS:
         out = F.regexp_replace(out, pattern, _java(replacement))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
+def canonical(text: Column) -> Column:
+    """The canonical form of an entire text."""
+    return _canonical(F.lower(text))
+
+
+def _untouched(low: Column) -> Column:
+    return F.regexp_replace(low, f"[^{UNTOUCHED}]+", "")
+
+
 def skeleton(text: Column) -> Column:
     """The untouched signs of a text; equal for texts with one canonical form."""
-    return F.regexp_replace(_without_holders(text), f"[^{UNTOUCHED}]+", "")
+    return _untouched(_without_holders(F.lower(text)))
+
+
+def _has_skeleton(low: Column, skeletons: list[str]) -> Column:
+    """Whether the skeleton of a text in lower case is one of ``skeletons``."""
+    beginnings = "".join(sorted({"\n" + k[:PROBE] for k in skeletons}))
+    begins = F.contains(F.lit(beginnings), F.concat(F.lit("\n"), _untouched(F.substring(_without_holders(low), 1, PROBE))))
+    return F.when(begins, _untouched(_without_holders(low)).isin(skeletons)).otherwise(F.lit(False))
 
 
 def canonical_sql(text: str) -> str:
@@ -120,11 +137,12 @@ def canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
-def _digest(text: Column, skeletons: list[str] | None = None) -> Column:
-    """Digest of the canonical form; null for an empty one and for skeletons that no known text has."""
-    form = canonical(text)
+def _digest(low: Column, skeletons: list[str] | None = None) -> Column:
+    """Digest of the canonical form of a text in lower case; null for an empty form and for
+    skeletons that no known text has."""
+    form = _canonical(low)
     digest = F.when(form != "", F.sha2(form, 256))
-    return digest if skeletons is None else F.when(skeleton(text).isin(skeletons), digest)
+    return digest if skeletons is None else F.when(_has_skeleton(low, skeletons), digest)
 
 
 def _texts(spark: SparkSession, known: dict[str, str] | DataFrame | None) -> DataFrame:
@@ -137,7 +155,7 @@ def _texts(spark: SparkSession, known: dict[str, str] | DataFrame | None) -> Dat
 
 def known_digests(spark: SparkSession, known: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """(digest, licence_id); of names with one canonical text the first in order counts."""
-    rows = _texts(spark, known).select("licence_id", _digest(F.col("text")).alias("digest"))
+    rows = _texts(spark, known).select("licence_id", _digest(F.lower("text")).alias("digest"))
     return rows.where("digest IS NOT NULL AND licence_id IS NOT NULL").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
 
 
@@ -155,9 +173,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: d
     if not isinstance(known, DataFrame):  # a short list by its type: it came with the plan
         digests = F.broadcast(digests)
         skeletons = sorted({r[0] for r in _texts(spark, known).select(skeleton(F.col("text"))).collect()})
-    rows = only(df, doc_id=id_col, text=text_col)
-    line_digests = F.transform(F.split("text", "\n", -1), lambda x: _digest(x, skeletons))
-    marked = rows.select("doc_id", _digest(F.col("text"), skeletons).alias("digest"), F.array_compact(F.array_distinct(line_digests)).alias("line_digests"))
+    rows = only(df, doc_id=id_col, text=text_col).select("doc_id", F.lower("text").alias("low"))
+    line_digests = F.transform(F.split("low", "\n", -1), lambda x: _digest(x, skeletons))
+    marked = rows.select("doc_id", _digest(F.col("low"), skeletons).alias("digest"), F.array_compact(F.array_distinct(line_digests)).alias("line_digests"))
     whole = marked.join(digests, "digest", "left").select("doc_id", "licence_id", "line_digests")
     if isinstance(known, DataFrame):
         sets = whole.select("line_digests").where(F.size("line_digests") > 0).distinct()
