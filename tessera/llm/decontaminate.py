@@ -13,21 +13,26 @@ A document is contaminated by an item if consistent windows cover at least 0.8 o
 windows, or a consistent run of at least ``RUN`` words is aligned. Texts are also compared
 as plain lower-case words (numbers and units still typed), so that a copy in other case is found.
 
-Windows with fewer than ``LITERALS`` literal words are looked up with their numbers as written.
+Windows with fewer than ``LITERALS`` literal words are looked up with their numbers as written, and so is
+one window of every item, whatever its words; an item whose words all follow as written is found by it.
 An item without any other window has one of them looked up as a template, too. Where this does not
 decide, such windows are compared along each alignment that was found: those with a literal
 by their slots, those without by their values. An item that is aligned from its first to its last
-word, with the same signs between words, is found even so. Items of fewer than five words
-are found where a line equals them, case and signs included.
+word, with the same signs between words, is found even so. Items of two to four words have a
+window of their own length and are found wherever they stand between other words as written, case and signs
+included; items of one word, or of signs alone, where a line equals them. So every item that is
+copied verbatim is found, but one of a single word inside a longer line.
 
 The benchmark is indexed in blocks of bounded size; each block is broadcast and all documents
-are read against it, so the benchmark may be of any size.
+are read against it. With more than one block the results are written before the next block is
+read, so driver and executors hold one block at a time and the benchmark may be of any size.
+Hits of many equal windows on both sides are worked off text by text and item by item.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.batches import flat_codepoints, only, slices
 from tessera.llm.words import mix, word_hashes
+from tessera.runtime import cut
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -45,6 +51,8 @@ LITERALS = 3
 #: Characters of benchmark text that one broadcast index is made of.
 BLOCK_CHARS = 16 << 20
 SLICE_BYTES = 2 << 20
+#: Hits that are laid out at once, unless a single text and item have more.
+HITS = 2 << 20
 
 #: Words that are units after a number.
 UNITS = """
@@ -170,7 +178,7 @@ def windows(t: Template) -> list[tuple[int, np.ndarray, np.ndarray]]:
         coded(PLAIN, t.plain, plain >= LITERALS),
         coded(TYPED, t.typed, (typed >= LITERALS) & (_sums(t.slot == 3) > 0)),  # without a name both forms of a window are one
         coded(LOOSE, t.loose, (loose >= LITERALS) & (_sums(t.first) > 0)),
-        coded(EXACT, t.value, plain < LITERALS),
+        coded(EXACT, t.value, np.ones(m, dtype=bool)),
         coded(ANCHOR, t.loose, (loose > 0) & (loose < LITERALS)),
         coded(ANCHOR, t.typed, (typed > 0) & (typed < LITERALS) & (_sums(t.first) > 0)),
     ]
@@ -188,7 +196,8 @@ class Index:
     first: np.ndarray  # first word of each window, by code
     filter: np.ndarray  # which upper bits of a code occur at all
     signs: dict[int, list[str]]  # of items with a window of few literals: signs before each word but the first
-    short: dict[str, list[int]]  # items of fewer than five words by their text
+    lines: dict[str, list[int]]  # items of fewer than two words by their text
+    short: dict[int, dict[int, list[tuple[int, str]]]]  # items of two to four words by this number and the hash of their words
 
 
 _FILTER_BITS = 22
@@ -199,14 +208,25 @@ def _between(text: str, start: np.ndarray, end: np.ndarray) -> list[str]:
     return ["".join(text[a:b].split()) for a, b in zip(end[:-1].tolist(), start[1:].tolist(), strict=True)]
 
 
+def _varied(value: np.ndarray) -> np.ndarray:
+    """Which windows hold more than one word."""
+    change = np.concatenate([[0], np.cumsum(value[1:] != value[:-1])])
+    return change[WINDOW - 1 :] > change[: -WINDOW + 1]
+
+
 def build_index(item_ids: list[int], texts: list[str]) -> Index:
     t = templates(texts)
     begins = np.searchsorted(t.owner, np.arange(len(texts) + 1))
     n_windows = np.maximum(np.diff(begins) - WINDOW + 1, 0)
-    short: dict[str, list[int]] = {}
+    lines: dict[str, list[int]] = {}
+    short: dict[int, dict[int, list[tuple[int, str]]]] = {}
     for i in np.flatnonzero(n_windows == 0).tolist():
-        if line := " ".join(texts[i].split()):
-            short.setdefault(line, []).append(i)
+        line, n = " ".join(texts[i].split()), int(begins[i + 1] - begins[i])
+        if n > 1:
+            code = int(_joined(t.value, np.array([begins[i]]), n)[0])
+            short.setdefault(n, {}).setdefault(code, []).append((i, line))
+        elif line:
+            lines.setdefault(line, []).append(i)
     signs, anchors = {}, []
     typed, loose = (WINDOW - _sums(x) if len(x) >= WINDOW else np.zeros(0, np.int64) for x in (t.slot > 0, (t.slot > 0) | t.first))
     low = np.flatnonzero(loose < LITERALS)
@@ -216,23 +236,41 @@ def build_index(item_ids: list[int], texts: list[str]) -> Index:
         signs[i] = _between(texts[i], t.start[a:b], t.end[a:b])
         if loose[a : a + n_windows[i]].max() < LITERALS:
             anchors += [a + int(x[a : a + n_windows[i]].argmax()) for x in (typed, loose)]
-    found = [(at, code) if form != ANCHOR else (at[(keep := np.isin(at, anchors))], code[keep]) for form, at, code in windows(t)]
+    # of windows as written those with few literals are kept, and each item's first that isn't one word over and over
+    plain = WINDOW - _sums((t.slot == 1) | (t.slot == 2)) if len(t.slot) >= WINDOW else np.zeros(0, np.int64)
+    written = [a + int(np.argmax(_varied(t.value[a : a + n + WINDOW - 1]))) for a, n in zip(begins[:-1].tolist(), n_windows.tolist(), strict=True) if n]
+    wanted = {EXACT: np.union1d(np.flatnonzero(plain < LITERALS), written), ANCHOR: anchors}
+    found = [(at, code) if form not in wanted else (at[(keep := np.isin(at, wanted[form]))], code[keep]) for form, at, code in windows(t)]
     at, codes = (np.concatenate([f[k] for f in found] or [np.zeros(0, kind)]) for k, kind in ((0, np.int64), (1, np.uint64)))
     order = np.lexsort((at, codes))
     there = np.zeros(1 << _FILTER_BITS, dtype=bool)
     there[(codes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Index(np.array(item_ids, dtype=np.int64), begins, t, n_windows, codes[order], at[order], there, signs, short)
+    return Index(np.array(item_ids, dtype=np.int64), begins, t, n_windows, codes[order], at[order], there, signs, lines, short)
 
 
-def _hits(t: Template, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (document word, item word) at which equal windows begin, and the windows' form."""
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
+def _joined(value: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` words from each of ``at``."""
+    code = np.full(len(at), n, dtype=np.uint64)
+    for k in range(n):
+        code = code * _ODD + value[at + k]
+    return mix(code)
+
+
+def _lookup(t: Template, index: Index) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each form: its number, windows that the index has, and where their entries begin and end."""
+    found = []
     for form, at, codes in windows(t):
         maybe = np.flatnonzero(index.filter[(codes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        if not len(maybe) or not len(index.codes):
-            continue
-        at, codes = at[maybe], codes[maybe]
-        lo, hi = np.searchsorted(index.codes, codes), np.searchsorted(index.codes, codes, side="right")
+        if len(maybe) and len(index.codes):
+            at, codes = at[maybe], codes[maybe]
+            found.append((form, at, np.searchsorted(index.codes, codes), np.searchsorted(index.codes, codes, side="right")))
+    return found
+
+
+def _hits(looked: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (document word, item word) at which equal windows begin, and the windows' form."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
+    for form, at, lo, hi in looked:
         n = hi - lo
         flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         found.append((np.repeat(at, n), index.first[flat], np.full(len(flat), form)))
@@ -267,14 +305,37 @@ def _along(t: Template, index: Index, text: str, which: int, diagonal: int, owne
     fit, equal, literal = (np.zeros(len(inside), dtype=bool) for _ in range(3))
     fit[inside], equal[inside], literal[inside] = alike, alike & same, alike & same & (q.slot[words] == 0)
     holds = (_sums(fit) == WINDOW) & ((_sums(literal) > 0) | (_sums(equal) == WINDOW))
-    whole = bool(fit.all()) and bool(literal.any()) and _between(text, t.start[spot], t.end[spot]) == index.signs[which]
+    whole = bool(fit.all()) and bool(literal.any()) and _between(text, t.start[spot], t.end[spot]) == index.signs.get(which)
     return set((index.begins[which] + np.flatnonzero(holds)).tolist()), whole, bool(np.any(fit & ~equal))
 
 
 def matches(texts: list[str], index: Index) -> list[tuple[int, int, float, int, bool]]:
     """(text number, item number, coverage, longest run in words, slots changed) of contaminated texts."""
-    t, q = templates(texts), index.template
-    doc, item, form = _hits(t, index)
+    t = templates(texts)
+    return sorted(_long(texts, t, index) + _short(texts, t, index))
+
+
+def _of_item(index: Index, which: int) -> Index:
+    """The index of one item alone."""
+    own = index.template.owner[index.first] == which
+    return replace(index, codes=index.codes[own], first=index.first[own])
+
+
+def _long(texts: list[str], t: Template, index: Index) -> list[tuple[int, int, float, int, bool]]:
+    """Matches of items of five words and more."""
+    looked = _lookup(t, index)
+    if sum(int((hi - lo).sum()) for _, _, lo, hi in looked) > HITS:
+        if len(texts) > 1:
+            half = len(texts) // 2
+            parts = [(0, texts[:half]), (half, texts[half:])]
+            return [(d + a, *rest) for a, part in parts for d, *rest in _long(part, templates(part), index)]
+        if len(items := np.unique(index.template.owner[index.first])) > 1:
+            return [m for i in items.tolist() for m in _long(texts, t, _of_item(index, i))]
+    return _judge(texts, t, index, *_hits(looked, index))
+
+
+def _judge(texts: list[str], t: Template, index: Index, doc: np.ndarray, item: np.ndarray, form: np.ndarray) -> list[tuple[int, int, float, int, bool]]:
+    q = index.template
     which, owner, diagonal = q.owner[item], t.owner[doc], doc - item
     order = np.lexsort((item, diagonal, which, owner))
     doc, item, form, which, owner, diagonal = (x[order] for x in (doc, item, form, which, owner, diagonal))
@@ -283,7 +344,7 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int, float, int,
     best: dict[tuple[int, int], list] = {}
     for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(doc)] if len(doc) else [], strict=True):
         entry = best.setdefault((int(owner[a]), int(which[a])), [set(), 0, False, []])
-        if int(which[a]) in index.signs:
+        if int(which[a]) in index.signs or np.any(form[a:b] == EXACT):
             entry[3].append(int(diagonal[a]))
         begins = np.unique(item[a:b][form[a:b] != ANCHOR])
         if not len(begins):
@@ -316,23 +377,39 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int, float, int,
         coverage = 1.0 if whole else len(covered) / total
         if coverage >= COVERAGE or longest >= RUN:
             out.append((d, i, coverage, max(longest, int(index.begins[i + 1] - index.begins[i]) if whole else 0), changed))
-    return sorted(out + _short(texts, index))
+    return out
 
 
-def _short(texts: list[str], index: Index) -> list[tuple[int, int, float, int, bool]]:
-    """Matches of items of fewer than five words: lines that equal them but for white space."""
-    if not index.short:
-        return []
+def _short(texts: list[str], t: Template, index: Index) -> list[tuple[int, int, float, int, bool]]:
+    """Matches of items of fewer than five words."""
     out = set()
-    for d, text in enumerate(texts):
+    for n, known in index.short.items():
+        at = np.flatnonzero(t.owner[: len(t.owner) - n + 1] == t.owner[n - 1 :])
+        codes = _joined(t.value, at, n)
+        hit = np.isin(codes, np.fromiter(known, np.uint64, len(known)))
+        for d, code in set(zip(t.owner[at[hit]].tolist(), codes[hit].tolist(), strict=True)):
+            line = " ".join(texts[d].split())
+            out.update((d, i, 1.0, n, False) for i, item in known[code] if _stands_in(item, line))
+    for d, text in enumerate(texts if index.lines else ()):
         for line in text.split("\n"):
-            for i in index.short.get(" ".join(line.split()), ()):
+            for i in index.lines.get(" ".join(line.split()), ()):
                 out.add((d, i, 1.0, int(index.begins[i + 1] - index.begins[i]), False))
     return list(out)
 
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
-    """Indexes of all items, each of about ``block_chars`` characters, one at a time."""
+def _stands_in(item: str, line: str) -> bool:
+    """Whether the item is in the line, not within longer words."""
+    at = line.find(item)
+    while at >= 0:
+        end = at + len(item)
+        if not (at and line[at - 1].isalnum() and item[0].isalnum()) and not (end < len(line) and line[end].isalnum() and item[-1].isalnum()):
+            return True
+        at = line.find(item, at + 1)
+    return False
+
+
+def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[tuple[Index, bool]]:
+    """Indexes of all items, each of about ``block_chars`` characters, one at a time, and whether it is the last."""
     rows = only(benchmark, item_id=id_col, text=text_col).where("text IS NOT NULL")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
@@ -340,28 +417,31 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
         block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct().collect()
         block.sort(key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
         if block:
-            yield build_index([-1 if r["item_id"] is None else r["item_id"] for r in block], [r["text"] for r in block])
+            yield build_index([-1 if r["item_id"] is None else r["item_id"] for r in block], [r["text"] for r in block]), k == blocks - 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, coverage, run_words, reparameterised) of every contaminated document and item.
 
     A document in no pair is clean. Null texts and texts without any sign match nothing; items of
-    fewer than five words match lines that equal them; a null item_id is reported as -1. Repeated document rows give repeated rows,
-    repeated items (same item_id and text) count once. Either table may be empty.
+    fewer than five words match as written; a null item_id is reported as -1. Repeated document rows give repeated rows,
+    repeated items (same item_id and text) count once. Either table may be empty; a text is held
+    in memory whole, with some 40 bytes a sign.
     """
-    rows = only(docs, doc_id=id_col, text=text_col).where("text IS NOT NULL")
+    rows = only(docs, doc_id=id_col, text=text_col).where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, coverage double, run_words long, reparameterised boolean"
     out = None
-    for index in indexes(benchmark, item_id_col, item_text_col, block_chars):
-        found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_finder(docs, index), schema)
+    for index, last in indexes(benchmark, item_id_col, item_text_col, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        found = rows.mapInArrow(_finder(shared), schema)
+        if not last or out is not None:
+            found = cut(found)
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _finder(df: DataFrame, index: Index):
-    shared = df.sparkSession.sparkContext.broadcast(index)
-
+def _finder(shared):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
@@ -379,14 +459,16 @@ def _finder(df: DataFrame, index: Index):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without its contaminated rows, all columns unchanged; null texts are clean."""
     out = docs
-    for index in indexes(benchmark, item_id_col, item_text_col, block_chars):
-        out = out.mapInArrow(_keeper(docs, index, text_col), docs.schema)
+    for index, last in indexes(benchmark, item_id_col, item_text_col, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        out = out.mapInArrow(_keeper(shared, text_col), docs.schema)
+        if not last:
+            out = cut(out)
+            shared.unpersist()
     return out
 
 
-def _keeper(df: DataFrame, index: Index, text_col: str):
-    shared = df.sparkSession.sparkContext.broadcast(index)
-
+def _keeper(shared, text_col: str):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:

@@ -164,8 +164,33 @@ def test_one_telling_window_is_not_the_whole_item():
     assert found_in(item, "Find the sum of all 3 8 1 things", item.upper(), "Find the sum of all parts") == [False, True, False]
 
 
-def test_short_items_are_lines():
+def test_short_items_are_found_as_written():
     assert found_in("What is 3 + 4?", "Quiz:\n  What is  3 + 4?\nseven", "What is 3 + 5?", "what is 3 + 4?") == [True, False, False]
+    assert found_in("What is 3 + 4?", "He asked: What is\n3 + 4? Seven!", "What is 3 + 4", "So what is 3 + 4?") == [True, False, False]
+    assert found_in("is 12", "This is 12, no more", "this 12", "his 12", "is 123", "is 12") == [True, False, False, False, True]
+    assert found_in("Why?", "Why?", "So Why? Because", "a\n Why? \nb") == [True, False, True]
+
+
+def test_every_verbatim_item_is_found():
+    """Items made at random of words, names, numbers, units and signs, put between other words."""
+    rnd = random.Random(9)
+    bits = [*WORDS, "Alice", "Bob", "NASA", "12", "3.5", "1,000", "kg", "-", "+", "*", "/", "=", "?", "!", ".", "(", ")", "中文", "é", "x", "7", "90 or 91?"]
+    for n in range(400):
+        item = " ".join(rnd.choices(bits if n % 3 else bits[len(WORDS) + 2 :], k=rnd.randint(2, 25)))
+        if len(d.templates([item]).owner) < 2:
+            continue
+        text = prose(rnd, rnd.randint(0, 30)) + rnd.choice([" ", ". ", "\n"]) + item.replace(" ", rnd.choice([" ", "  ", "\n"])) + rnd.choice([" ", "\n", ". "]) + prose(rnd, rnd.randint(0, 30))
+        assert found_in(item, text) == [True], (item, text)
+    assert found_in("12 + 34 * 56 - 78 = 90 or 91?", "We know 12 + 34 * 56 - 78 = 90 or 91? Yes") == [True]
+
+
+def test_many_equal_windows_on_both_sides(monkeypatch):
+    line = "the same seven words again and again. "
+    texts, items = [line * 50, "nothing", line * 3 + "end", QUESTION], [line * 40, QUESTION, "other words that are in none of these"]
+    index = d.build_index([1, 2, 3], items)
+    whole = d.matches(texts, index)
+    monkeypatch.setattr(d, "HITS", 50)
+    assert d.matches(texts, index) == whole and {(m[0], m[1]) for m in whole} >= {(0, 0), (3, 1)}
 
 
 def test_names_that_begin_sentences_and_values_that_become_one():
