@@ -43,7 +43,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.add_language(docs.select("doc_id", out.alias("held_out"), "text"), profiles).drop("text")
 
 
-@query("op2_url_filters")
+@query("op2_url_filters", url_rules.judge_sql("pages"))
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"))
 
