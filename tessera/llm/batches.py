@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.runtime import fresh
+
 SLICE_BYTES = 2 << 20
 
 
@@ -35,6 +37,17 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
         start = stop
 
 
+def cut_text(text: str, most: int) -> Iterator[str]:
+    """Pieces of a text of at most ``most`` signs, which end before a blank where there is one in the later half."""
+    at = 0
+    while len(text) - at > most:
+        end = max(text.rfind(blank, at + most // 2, at + most) for blank in " \n\t")
+        end = end if end > at else at + most
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def append_columns(
     df: DataFrame,
     text: str,
@@ -45,8 +58,10 @@ def append_columns(
     """``df`` with new columns computed from the whole text of each row (null: empty).
 
     ``kernel_factory`` runs once for each task, so it may build tables there; its kernel
-    maps a list of texts to one array for each of ``fields``.
+    maps a list of texts to one array for each of ``fields``. A field whose name is taken (case
+    ignored) is called the same with underscores at its end; the new columns are always the last ones.
     """
+    fields = [T.StructField(fresh(f.name, df), f.dataType, f.nullable) for f in fields]
     schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

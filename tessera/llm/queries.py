@@ -52,8 +52,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     good = _table(spark, sf_dir, "labels").where("quality = 1")
-    models = lm_scoring.fit(lm_scoring.flag_targets(docs, good))
-    return lm_scoring.add_scores(docs, models).drop("text")
+    return lm_scoring.add_scores(lm_scoring.flag_targets(docs, good)).drop("text", "target")
 
 
 @query("op4_bpe_encode_decode")

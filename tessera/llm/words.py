@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 #: The signs that part words, as ASCII white space.
@@ -28,6 +30,18 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return x[:n]
 
 
+@cache
+def folding() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every code point: whether it is a letter or digit, its lower case where that is one sign, whether it is white space."""
+    signs = list(map(chr, range(0x110000)))
+    letter, blank = (np.fromiter(map(kind, signs), dtype=bool, count=len(signs)) for kind in (str.isalnum, str.isspace))
+    lower = np.arange(0x110000, dtype=np.uint32)
+    for c in np.flatnonzero(letter).tolist():
+        if len(low := signs[c].lower()) == 1:
+            lower[c] = ord(low)
+    return letter, lower, blank
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers."""
     x = x ^ (x >> np.uint64(31))
