@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.batches import append_columns, flat_codepoints
 from tessera.llm.words import powers
+from tessera.runtime import fresh
 
 #: The pattern that splits text before merging, for this family of vocabularies.
 #: ``word_starts`` finds the same words without running a pattern over every text.
@@ -299,6 +300,9 @@ class Decoder:
         self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        known = (ids >= 0) & (ids < len(self.bounds) - 1)
+        if not known.all():
+            bounds, ids = np.concatenate([[0], np.cumsum(known)])[bounds], ids[known]
         raw = gather(self.bytes, self.bounds, ids).tobytes()
         ends = np.concatenate([[0], np.cumsum((self.bounds[1:] - self.bounds[:-1])[ids])])[bounds].tolist()
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -309,12 +313,10 @@ def encode(df: DataFrame, tokenizer_json: str, text_col: str = "text", ids_col:
 
     ``tokenizer_json`` is the content of a tokenizer file (about 1.5 MB, sent with the task;
     executors need no path). A null or empty text has no ids and decodes to an empty text;
-    strings of special tokens in a text become those tokens. All columns of ``df`` stay, rows
-    are independent of each other, and an empty table gives an empty one. The new names
-    must not be columns of ``df``.
+    strings of special tokens in a text become those tokens. All columns of ``df`` stay, rows,
+    repeated ones too, are independent of each other, and an empty table gives an empty one. A new name
+    that is taken (case ignored) is lengthened by underscores; the new columns are the last ones.
     """
-    if clash := {ids_col, decoded_col} & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
     fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), containsNull=True))]
     if decoded_col:
         fields.append(T.StructField(decoded_col, T.StringType()))
@@ -337,16 +339,19 @@ def encode(df: DataFrame, tokenizer_json: str, text_col: str = "text", ids_col:
 
 
 def decode(df: DataFrame, tokenizer_json: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """``df`` with the text of each row's token ids (null ids: empty text)."""
-    if decoded_col in df.columns:
-        raise ValueError(f"column exists already: {decoded_col}")
+    """``df`` with the text of each row's token ids, as its last column.
+
+    Null ids decode to an empty text, ids that no token has to nothing. A taken name is
+    lengthened by underscores.
+    """
+    decoded_col = fresh(decoded_col, df)
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)
     schema = T.StructType([*df.schema.fields, T.StructField(decoded_col, T.StringType())])
 
     def run(batches):
         decoder = Decoder(shared.value)
         for batch in batches:
-            lists = [np.asarray(x or [], dtype=np.int64) for x in batch.column(ids_col).to_pylist()]
+            lists = [np.array([-1 if i is None else i for i in x or []], dtype=np.int64) for x in batch.column(ids_col).to_pylist()]
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]).astype(np.int64)
             texts = decoder.decode(np.concatenate([*lists, np.zeros(0, np.int64)]), bounds)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())], names=[*batch.schema.names, decoded_col])

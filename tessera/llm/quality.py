@@ -240,7 +240,8 @@ def add_score(df: DataFrame, model: Model, text_col: str = "text", score_col: st
     """``df`` with the score, 0 to 1, of each whole text.
 
     Null and empty texts, and all texts if no label was learnt, score the prior: the share of
-    label 1 among the labels (0.5 without any). Rows are independent of each other.
+    label 1 among the labels (0.5 without any). Rows, repeated ones too, are independent of each other;
+    long texts count whole, with some 45 bytes of memory a sign. A taken name is lengthened by underscores (case ignored).
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.batches import append_columns, only
 from tessera.operators.components import components
-from tessera.runtime import cut, fresh
+from tessera.runtime import cut, fresh, join_counted
 
 SEED = 42
 MAX_BITS = 3
@@ -166,22 +166,26 @@ def list_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``list_links`` over a partition sorted by key; a list may go on in the next batch."""
-    keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # joined once, however many batches a list spans
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.concatenate([keys, batch.column("key").to_numpy()])
-        fps = np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
+        keys, fps = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
         whole = int(np.searchsorted(keys, keys[-1]))  # sorted: the last list may be unfinished
+        if whole == 0 and held and held[-1][0][-1] != keys[0]:
+            yield out(*list_links(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            held.clear()
         if whole:
-            yield out(*list_links(keys[:whole], fps[:whole]))
-            keys, fps = keys[whole:], fps[whole:]
-    if len(keys):
-        yield out(*list_links(keys, fps))
+            held.append((keys[:whole], fps[:whole]))
+            yield out(*list_links(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            held.clear()
+        held.append((keys[whole:], fps[whole:]))
+    if held:
+        yield out(*list_links(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
 
 def fingerprint_links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
@@ -197,15 +201,16 @@ def fingerprint_links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def _classes(prints: DataFrame, hot: int = HOT) -> DataFrame:
-    """(fp, root, component_id) of each distinct fingerprint of ``prints`` (doc_id, fp).
+    """(fp, n, root, component_id) of each distinct fingerprint of ``prints`` (doc_id, fp).
 
-    ``root`` is the smallest fingerprint of the component, component_id its smallest doc_id.
+    ``n`` is how many rows have it, ``root`` the smallest fingerprint of the component,
+    component_id its smallest doc_id.
     """
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     stars = components(fingerprint_links(nodes.select("fp"), hot)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rooted = nodes.join(stars, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id")
+    rooted = nodes.join(stars, "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    return join_counted(rooted, least, "root", "members").select("fp", "n", "root", "component_id")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, hot: int = HOT) -> DataFrame:
@@ -219,8 +224,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """
     rows = only(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = cut(add_fingerprint(rows, "text", "fp", words).select("doc_id", "fp"))
-    classes = _classes(prints, hot)
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # copies of one text, and all empty ones, share a fingerprint
+    classes = cut(_classes(prints, hot))
+    return join_counted(prints, classes, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:

@@ -7,6 +7,8 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
+from pyspark.sql import functions as F
+
 from tessera.llm import bpe  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,5 +64,16 @@ def test_frames_nulls_extra_columns_and_broken_bytes(spark, source):
     broken = spark.createDataFrame([([164],), (None,), ([50256],)], "ids array<int>")
     assert [r.decoded for r in bpe.decode(broken, source).collect()] == [Tokenizer.from_file(PATH).decode([164]), "", "<|endoftext|>"]
     assert bpe.encode(df.limit(0), source).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode(df, source, ids_col="text")
+
+
+def test_ids_that_no_token_has_decode_to_nothing(spark):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        source = f.read()
+    df = spark.createDataFrame([(1, [50257, 99999999, -1, None]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    some = bpe.encode(spark.createDataFrame([(4, "a b", "x")], "doc_id long, text string, IDS string"), source)
+    assert some.columns == ["doc_id", "text", "IDS", "ids_"]
+    mixed = some.select("doc_id", F.concat(F.array(F.lit(-5)), "ids_", F.array(F.lit(10**8))).alias("ids"))
+    got = {r.doc_id: r.decoded for r in bpe.decode(df.unionByName(mixed), source).collect()}
+    assert got == {1: "", 2: "", 3: "", 4: "a b"}
