@@ -1,9 +1,9 @@
 """The engine's queries over the synthetic tables, and the SQL that must give the same rows.
 
-Every query runs over the whole ``embeddings`` table. Numbers are rounded to 6 digits and ties have
-an order. The dendrogram stages take as input the tree that joins each vector with the next
-(``chain``): a spanning tree like any other for them, but one whose merges SQL can express as
-intervals, so that their SQL runs over the whole table as well.
+Every query reads all rows of ``embeddings``. Numbers are rounded to 6 digits and ties have an order.
+Stages that follow the layout take the first ``LOW`` of each vector's 64 dimensions as a stand-in for
+one. The dendrogram stages take as input the tree that joins each vector with the next
+(``chain``), whose merges SQL can express as intervals, and, under names in ``_mst``, the spanning tree.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from tessera.operators.components import component_sizes, connected_components
 from tessera.operators.embedding import attract_step, node_embedding
 from tessera.operators.knn import knn, nested
 from tessera.operators.mst import core_distance, descendants, knn_lowdim, linkage, mst, mutual_reachability, nearest_other_component
-from tessera.params import ClusterParams, EmbeddingParams
+from tessera.params import ClusterParams, EmbeddingParams, NearestNeighbourParams
 from tessera.plans.cluster import best_layer, cluster, cluster_accuracy, cluster_gpu, layers_of, n_clusters
 from tessera.runtime import cut
 from tessera.sources.vectors import read_vectors
@@ -125,9 +125,9 @@ _SEEDS = f"z AS (SELECT id, CASE WHEN (id * 7919 + 17) % 5 = 0 THEN id % {PARTS}
 _PARTS = f"z AS (SELECT id, id % {PARTS} AS label FROM v), n AS (SELECT label, count(*) AS n FROM z GROUP BY label)"
 _CELLS = "c AS (SELECT id, unnest(range(len(x))) AS c, unnest(x) AS v FROM v)"
 
-# a chain's dendrogram: the merge at an edge spans the widest interval around it without a later edge
-_CHAIN = f"""
-t AS (SELECT count(*) AS n, min(id) AS a, max(id) AS z FROM v),
+# the dendrogram of a chain: the merge at an edge spans the widest interval around it without a later edge
+_SIZE = "t AS (SELECT count(*) AS n, min(id) AS a, max(id) AS z FROM v)"
+_CHAIN = f"""{_SIZE},
 e AS (SELECT a.id - t.a AS i, list_distance(a.x, b.x) AS w, row_number() OVER (ORDER BY list_distance(a.x, b.x), a.id) - 1 AS r FROM v a JOIN v b ON b.id = a.id + 1, t),
 lo AS (SELECT e.i, coalesce(max(f.i) + 1, 0) AS lo FROM e LEFT JOIN e f ON f.i < e.i AND f.r > e.r GROUP BY e.i),
 hi AS (SELECT e.i, coalesce(min(f.i), any_value(t.n) - 1) AS hi FROM t, e LEFT JOIN e f ON f.i > e.i AND f.r > e.r GROUP BY e.i),
@@ -135,11 +135,47 @@ d AS (SELECT e.i, e.w, e.r, t.n + e.r AS id, lo.lo, hi.hi, hi.hi - lo.lo + 1 AS
       FROM t, e JOIN lo ON lo.i = e.i JOIN hi ON hi.i = e.i),
 sa AS (SELECT d.id, coalesce(max(f.id), any_value(d.i)) AS a FROM d LEFT JOIN d f ON f.i >= d.lo AND f.i < d.i GROUP BY d.id),
 sb AS (SELECT d.id, coalesce(max(f.id), any_value(d.i) + 1) AS b FROM d LEFT JOIN d f ON f.i > d.i AND f.i < d.hi GROUP BY d.id),
-dn AS (SELECT d.*, sa.a, sb.b, size_a >= {MIN_SIZE} AND size_b >= {MIN_SIZE} AS split FROM d JOIN sa ON sa.id = d.id JOIN sb ON sb.id = d.id),
+nodes AS (SELECT d.id, d.w, d.lo, d.hi, d.size, d.size_a, d.size_b, sa.a, sb.b FROM d JOIN sa ON sa.id = d.id JOIN sb ON sb.id = d.id),
+leaves AS (SELECT unnest(range(n)) AS leaf, unnest(range(n)) AS place FROM t)"""
+
+# the spanning tree by growing it: edges have a unique rank, the state is each point's least rank to the tree
+_TAKEN, _FAR = 9_000_000_000, 8_000_000_000
+_MST = f"""{_SIZE}, {_P}, {_nn(MIN_SAMPLES, "k5")}, core AS (SELECT src AS id, max(d) AS core FROM k5 GROUP BY src),
+er AS MATERIALIZED (SELECT src AS u, dst AS v, greatest(d, a.core, b.core) AS w, row_number() OVER (ORDER BY greatest(d, a.core, b.core), src, dst) AS r FROM p JOIN core a ON a.id = src JOIN core b ON b.id = dst WHERE src < dst),
+pos AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM v),
+mat AS MATERIALIZED (SELECT a.k, list(coalesce(er.r, {_FAR}) ORDER BY b.k) AS rs FROM pos a CROSS JOIN pos b LEFT JOIN er ON er.u = least(a.id, b.id) AND er.v = greatest(a.id, b.id) GROUP BY a.k),
+grow AS (
+  SELECT 1 AS step, list_transform(rs, lambda x, i: CASE WHEN i = 1 THEN {_TAKEN} ELSE x END) AS best, CAST(NULL AS BIGINT) AS r FROM mat WHERE k = 1
+  UNION ALL
+  SELECT q.step + 1, list_transform(list_zip(q.best, mat.rs), lambda x, i: CASE WHEN x[1] = {_TAKEN} OR i = q.j THEN {_TAKEN} ELSE least(x[1], x[2]) END), q.m
+  FROM (SELECT step, best, list_min(best) AS m, list_position(best, list_min(best)) AS j FROM grow WHERE step < (SELECT n FROM t)) q JOIN mat ON mat.k = q.j),
+mst AS MATERIALIZED (SELECT er.u, er.v, er.w, er.r FROM grow JOIN er ON er.r = grow.r)"""
+# its dendrogram: each edge in turn gives both sides the merge's name; leaves are laid out from the root down
+_REAL = f"""{_MST},
+ord AS MATERIALIZED (SELECT row_number() OVER (ORDER BY mst.r) - 1 AS s, a.k AS i, b.k AS j, mst.w FROM mst JOIN pos a ON a.id = mst.u JOIN pos b ON b.id = mst.v),
+kr AS MATERIALIZED (
+  SELECT -1 AS s, (SELECT range(n) FROM t) AS nm, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS w
+  UNION ALL
+  SELECT q.s, list_transform(q.nm, lambda x: CASE WHEN x = q.a OR x = q.b THEN q.id ELSE x END), q.a, q.b, q.w
+  FROM (SELECT o.s, kr.nm, kr.nm[o.i] AS a, kr.nm[o.j] AS b, o.w, t.n + o.s AS id FROM kr JOIN ord o ON o.s = kr.s + 1, t) q),
+sz AS (SELECT t.n + s AS id, len(list_filter(nm, lambda x: x = t.n + s)) AS size FROM kr, t WHERE s >= 0 UNION ALL SELECT unnest(range(n)), 1 FROM t),
+mg AS MATERIALIZED (SELECT t.n + s AS id, kr.a, kr.b, kr.w, x.size, y.size AS size_a, z.size AS size_b FROM t, kr JOIN sz x ON x.id = (SELECT n FROM t) + kr.s JOIN sz y ON y.id = kr.a JOIN sz z ON z.id = kr.b WHERE s >= 0),
+laid AS MATERIALIZED (
+  SELECT 2 * n - 2 AS id, CAST(0 AS BIGINT) AS lo FROM t
+  UNION ALL
+  SELECT unnest([q.a, q.b]), unnest([q.lo, q.lo + q.size_a]) FROM (SELECT mg.a, mg.b, mg.size_a, laid.lo FROM laid JOIN mg ON mg.id = laid.id) q),
+nodes AS MATERIALIZED (SELECT mg.id, mg.w, laid.lo, laid.lo + mg.size - 1 AS hi, mg.size, mg.size_a, mg.size_b, mg.a, mg.b FROM mg JOIN laid ON laid.id = mg.id),
+leaves AS (SELECT laid.id AS leaf, laid.lo AS place FROM laid, t WHERE laid.id < t.n)"""
+
+
+def _condensed_sql(m: str) -> str:
+    """The condensed tree of ``nodes`` and ``leaves`` at the minimum size ``m``, and what follows from it."""
+    return f"""
+dn AS (SELECT *, size_a >= {m} AND size_b >= {m} AS split FROM nodes),
 root AS (SELECT 2 * n - 2 AS root, n FROM t),
 born AS (SELECT a AS id FROM dn WHERE split UNION SELECT b FROM dn WHERE split),
 cl AS (SELECT x.id, coalesce(min(y.id), any_value(root.root)) AS cluster FROM root, dn x LEFT JOIN (SELECT * FROM dn WHERE id IN (SELECT id FROM born)) y ON y.lo <= x.lo AND y.hi >= x.hi GROUP BY x.id),
-pts AS (SELECT t2.p, min(dn.id) AS node FROM (SELECT unnest(range(n)) AS p FROM t) t2 JOIN dn ON dn.lo <= t2.p AND dn.hi >= t2.p AND dn.size >= {MIN_SIZE} GROUP BY t2.p),
+pts AS (SELECT leaves.leaf AS p, any_value(leaves.place) AS place, min(dn.id) AS node FROM leaves JOIN dn ON dn.lo <= leaves.place AND dn.hi >= leaves.place AND dn.size >= {m} GROUP BY leaves.leaf),
 cond AS (
   SELECT cl.cluster AS parent, dn.a AS child, 1 / dn.w AS "lambda", dn.size_a AS child_size FROM dn JOIN cl ON cl.id = dn.id WHERE split
   UNION ALL SELECT cl.cluster, dn.b, 1 / dn.w, dn.size_b FROM dn JOIN cl ON cl.id = dn.id WHERE split
@@ -148,15 +184,60 @@ leaf AS (SELECT DISTINCT parent AS cluster FROM cond WHERE child_size = 1 AND pa
 lab AS (SELECT c.child AS id, coalesce(q.label, -1) AS label FROM cond c LEFT JOIN (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS label FROM leaf, root WHERE cluster <> root) q ON q.cluster = c.parent WHERE c.child_size = 1),
 gone AS (SELECT id, least(size_a, size_b) AS death, w, a, b FROM dn WHERE split),
 bars AS (
-  SELECT x.id AS cluster_id, CAST(greatest({MIN_SIZE}, coalesce(max(y.death), 0)) AS DOUBLE) AS size_birth,
+  SELECT x.id AS cluster_id, CAST(greatest({m}, coalesce(max(y.death), 0)) AS DOUBLE) AS size_birth,
     CAST(any_value(x.death) AS DOUBLE) AS size_death, any_value(x.parent) AS parent, any_value(x.lam) AS lambda_death
   FROM (SELECT k.child AS id, g2.death, k.parent, exp(-1 / k."lambda") AS lam, dn.lo, dn.hi FROM cond k JOIN gone g2 ON g2.a = k.child OR g2.b = k.child JOIN dn ON dn.id = k.child WHERE k.child_size > 1
         UNION ALL SELECT root, n, root, 0, 0, n - 1 FROM root WHERE EXISTS (SELECT 1 FROM gone)) x
   LEFT JOIN (SELECT gone.death, dn.lo, dn.hi FROM gone JOIN dn ON dn.id = gone.id) y ON y.lo >= x.lo AND y.hi <= x.hi GROUP BY x.id),
 curve AS (SELECT s.size, coalesce(sum((b2.size_death - b2.size_birth) * b2.lambda_death), 0) AS persistence
-  FROM (SELECT DISTINCT size_birth AS size FROM bars) s LEFT JOIN (SELECT * FROM bars WHERE cluster_id <> parent AND size_death > size_birth) b2 ON s.size >= b2.size_birth AND s.size < b2.size_death GROUP BY s.size)
+  FROM (SELECT DISTINCT size_birth AS size FROM bars) s LEFT JOIN (SELECT * FROM bars WHERE cluster_id <> parent AND size_death > size_birth) b2 ON s.size >= b2.size_birth AND s.size < b2.size_death GROUP BY s.size),
+cv AS (SELECT size, persistence, row_number() OVER (ORDER BY size) - 1 AS position, lag(persistence) OVER (ORDER BY size) AS before FROM curve),
+ru AS (SELECT *, sum(CASE WHEN before = persistence THEN 0 ELSE 1 END) OVER (ORDER BY position) AS run FROM cv),
+fl AS (SELECT run, min(position) AS a, max(position) AS b, any_value(persistence) AS p FROM ru GROUP BY run),
+pk AS (SELECT CAST(floor((a + b) / 2) AS BIGINT) AS position FROM (SELECT *, lag(p) OVER (ORDER BY run) AS x, lead(p) OVER (ORDER BY run) AS y FROM fl) WHERE p > x AND p > y)
+"""
+
+
+def _diverse_sql(threshold: float, most: int) -> str:
+    """Peaks by falling persistence, without those too like one that was taken: ``picked``."""
+    return f"""
+cand AS (SELECT row_number() OVER (ORDER BY cv.persistence DESC, cv.position) AS k, cv.size, cv.persistence FROM cv JOIN pk ON pk.position = cv.position),
+held AS (SELECT cand.k, b.cluster_id FROM cand JOIN bars b ON b.size_birth <= cand.size AND b.size_death > cand.size),
+alike AS (SELECT x.k, list(y.k) AS ks FROM cand x JOIN cand y ON y.k < x.k
+  WHERE (SELECT count(*) FROM held p JOIN held q ON p.cluster_id = q.cluster_id WHERE p.k = x.k AND q.k = y.k) > {threshold} * (SELECT count(DISTINCT cluster_id) FROM held WHERE k = x.k OR k = y.k) GROUP BY x.k),
+pick AS (
+  SELECT 0 AS k, CAST([] AS BIGINT[]) AS taken
+  UNION ALL
+  SELECT c.k, CASE WHEN len(pick.taken) < {most} AND NOT list_has_any(pick.taken, coalesce(alike.ks, [])) THEN list_append(pick.taken, c.k) ELSE pick.taken END
+  FROM pick JOIN cand c ON c.k = pick.k + 1 LEFT JOIN alike ON alike.k = c.k),
+picked AS (SELECT cand.k, cand.size, cand.persistence, row_number() OVER (ORDER BY cand.k) - 1 AS place FROM cand WHERE list_contains((SELECT taken FROM pick ORDER BY k DESC LIMIT 1), cand.k))
 """
-_TREE = f"WITH {_V}, {_CHAIN}"
+
+
+_TREE = f"WITH RECURSIVE {_V}, {_CHAIN}, {_condensed_sql(str(MIN_SIZE))}"
+_W = f"v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[])[1:{LOW}] AS x FROM embeddings)"
+_LOW_TREE = f"WITH RECURSIVE {_W}, {_REAL}, {_condensed_sql(str(MIN_SIZE))}"
+# layers of the real tree: selected clusters by layer, a point's label by the innermost that holds it
+_LAYERS = """
+sel AS (SELECT 0 AS layer, cluster FROM leaf, root WHERE cluster <> root UNION ALL SELECT picked.place + 1, b.cluster_id FROM root, picked JOIN bars b ON b.size_birth <= picked.size AND b.size_death > picked.size WHERE b.cluster_id <> root.root),
+lay AS (SELECT 0 AS layer, CAST(0 AS DOUBLE) AS persistence UNION ALL SELECT place + 1, persistence FROM picked),
+num AS (SELECT sel.layer, sel.cluster, row_number() OVER (PARTITION BY sel.layer ORDER BY sel.cluster) - 1 AS label, dn.lo, dn.hi FROM sel JOIN dn ON dn.id = sel.cluster),
+inn AS (SELECT lay.layer, pts.p, arg_min(num.label, num.cluster) AS label, min(num.cluster) AS cluster FROM lay CROSS JOIN pts JOIN num ON num.layer = lay.layer AND num.lo <= pts.place AND num.hi >= pts.place GROUP BY lay.layer, pts.p),
+tops AS (SELECT parent AS cluster, max("lambda") AS most FROM cond WHERE child_size = 1 GROUP BY parent),
+given AS (SELECT lay.layer, lay.persistence, c.child AS p, coalesce(inn.label, -1) AS label, CASE WHEN inn.label IS NULL THEN 0 WHEN tops.most IS NULL THEN 1 ELSE least(c."lambda", tops.most) / tops.most END AS strength
+  FROM lay CROSS JOIN (SELECT * FROM cond WHERE child_size = 1) c LEFT JOIN inn ON inn.layer = lay.layer AND inn.p = c.child LEFT JOIN tops ON tops.cluster = inn.cluster),
+ranked AS (SELECT layer, row_number() OVER (ORDER BY max(label) DESC, layer) - 1 AS number FROM given GROUP BY layer)"""
+_AT_TARGET = """
+sp AS (SELECT id, lo, hi, least(size_a, size_b) AS s FROM nodes),
+bis AS (
+  SELECT CAST(2 AS BIGINT) AS lo, n // 2 AS hi FROM t
+  UNION ALL
+  SELECT CASE WHEN q.c < {target} THEN q.lo ELSE q.mid END, CASE WHEN q.c < {target} THEN q.mid ELSE q.hi END
+  FROM (SELECT any_value(b.lo) AS lo, any_value(b.hi) AS hi, (any_value(b.lo) + any_value(b.hi)) // 2 AS mid, count(*) FILTER (WHERE sp.s >= (b.lo + b.hi) // 2) + 1 AS c FROM (SELECT lo, hi FROM bis WHERE hi - lo > 1) b CROSS JOIN sp GROUP BY b.lo, b.hi) q),
+ms AS (SELECT unnest([lo, hi]) AS m FROM bis WHERE hi - lo <= 1),
+sides AS (SELECT ms.m, unnest([nodes.lo, nodes.lo + nodes.size_a]) AS lo, unnest([nodes.lo + nodes.size_a - 1, nodes.hi]) AS hi FROM ms JOIN nodes ON least(nodes.size_a, nodes.size_b) >= ms.m),
+ends AS (SELECT sides.m, sum(sides.hi - sides.lo + 1) AS labelled FROM sides WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.s >= sides.m AND sp.lo >= sides.lo AND sp.hi <= sides.hi) GROUP BY sides.m),
+chosen AS (SELECT ms.m FROM ms LEFT JOIN ends ON ends.m = ms.m ORDER BY abs((SELECT count(*) + 1 FROM sp WHERE sp.s >= ms.m) - {target}), coalesce(ends.labelled, 0) DESC, ms.m LIMIT 1)"""
 
 
 # --- sources and search ---------------------------------------------------------------------------
@@ -167,8 +248,8 @@ def scan_vectors(spark, sf_dir):
     return _wide(_vectors(spark, sf_dir), "embedding")
 
 
-def _neighbours(method: str, metric: str = "euclidean"):
-    return lambda spark, sf_dir: knn(_vectors(spark, sf_dir), K, method, metric).select("src", F.col("rank").cast("long").alias("rank"), "dst", r6("dist"))
+def _neighbours(method: str, metric: str = "euclidean", params: NearestNeighbourParams | None = None):
+    return lambda spark, sf_dir: knn(_vectors(spark, sf_dir), K, method, metric, params).select("src", F.col("rank").cast("long").alias("rank"), "dst", r6("dist"))
 
 
 _EXACT = f"WITH {_V}, {_P}, {_nn(K)} SELECT src, rank, dst, round(d, 6) AS dist FROM k"
@@ -189,6 +270,10 @@ for _name, _method, _metric, _sql in (
     ("knn_balltree", "balltree", "euclidean", None),
 ):
     query(_name, _sql)(_neighbours(_method, _metric))
+# with budgets that let them see every row the approximate methods are exact
+_FULL = NearestNeighbourParams(n_probes=1 << 20, search_budget=1 << 40, bt_budget=1.0, ef_search=1 << 20, ef_budget=1 << 20)
+for _method in ("ivf", "annoy", "hnsw", "nndescent", "balltree"):
+    query(f"knn_{_method}_full_budget", _EXACT)(_neighbours(_method, "euclidean", _FULL))
 
 
 @query("knn_nested", f"WITH {_V}, {_P}, {_nn(K)} SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY rank) AS indices, count(*) AS n FROM k GROUP BY src")
@@ -411,7 +496,7 @@ def other_component(spark, sf_dir):
     return nearest_other_component(ready).select("id", "other", r6("w"))
 
 
-@query("mst")
+@query("mst", f"WITH RECURSIVE {_V}, {_MST} SELECT u, v, round(w, 6) AS w FROM mst")
 def spanning_tree(spark, sf_dir):
     return mst(_vectors(spark, sf_dir), MIN_SAMPLES).select("u", "v", r6("w"))
 
@@ -483,13 +568,7 @@ def persistence(spark, sf_dir):
     return tree.total_persistence(_bars(spark, sf_dir)).select("size", r6("persistence"))
 
 
-_PEAKS = """, cv AS (SELECT size, persistence, row_number() OVER (ORDER BY size) - 1 AS position, lag(persistence) OVER (ORDER BY size) AS before FROM curve),
-ru AS (SELECT *, sum(CASE WHEN before = persistence THEN 0 ELSE 1 END) OVER (ORDER BY position) AS run FROM cv),
-fl AS (SELECT run, min(position) AS a, max(position) AS b, any_value(persistence) AS p FROM ru GROUP BY run),
-pk AS (SELECT CAST(floor((a + b) / 2) AS BIGINT) AS position FROM (SELECT *, lag(p) OVER (ORDER BY run) AS x, lead(p) OVER (ORDER BY run) AS y FROM fl) WHERE p > x AND p > y)"""
-
-
-@query("find_peaks", f"{_TREE}{_PEAKS} SELECT cv.position, cv.size, round(cv.persistence, 6) AS persistence FROM cv JOIN pk ON pk.position = cv.position")
+@query("find_peaks", f"{_TREE} SELECT cv.position, cv.size, round(cv.persistence, 6) AS persistence FROM cv JOIN pk ON pk.position = cv.position")
 def peaks(spark, sf_dir):
     return tree.find_peaks(tree.total_persistence(_bars(spark, sf_dir))).select("position", "size", r6("persistence"))
 
@@ -506,7 +585,7 @@ def likeness(spark, sf_dir):
     return tree.layer_jaccard(b, b.select(F.col("size_birth").alias("size")).distinct()).select("a", "b", r6("jaccard"))
 
 
-@query("diverse_peaks")
+@query("diverse_peaks", f"{_TREE}, {_diverse_sql(0.2, 9)} SELECT place, size, round(persistence, 6) AS persistence FROM picked")
 def chosen_peaks(spark, sf_dir):
     return tree.diverse_peaks(_bars(spark, sf_dir), 0.2, 9).select("place", "size", r6("persistence"))
 
@@ -514,23 +593,62 @@ def chosen_peaks(spark, sf_dir):
 @query(
     "labels_at_size",
     f"""{_TREE}, act AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS label FROM bars, root WHERE size_birth <= {AT_SIZE} AND size_death > {AT_SIZE} AND cluster_id <> root)
-    SELECT pts.p AS id, coalesce(max(act.label), -1) AS label FROM pts LEFT JOIN (SELECT act.label, dn.lo, dn.hi FROM act JOIN dn ON dn.id = act.cluster_id) act ON act.lo <= pts.p AND act.hi >= pts.p GROUP BY pts.p""",
+    SELECT pts.p AS id, coalesce(max(act.label), -1) AS label FROM pts LEFT JOIN (SELECT act.label, dn.lo, dn.hi FROM act JOIN dn ON dn.id = act.cluster_id) act ON act.lo <= pts.place AND act.hi >= pts.place GROUP BY pts.p""",
 )
 def at_size(spark, sf_dir):
     c = _condensed(spark, sf_dir)
     return tree.cluster_labels(c, tree.active_clusters(tree.barcode(c, MIN_SIZE), AT_SIZE))
 
 
-@query("cluster_layers")
+@query("cluster_layers", f"WITH RECURSIVE {_W}, {_REAL}, {_condensed_sql('5')}, {_diverse_sql(0.2, 9)}, {_LAYERS} SELECT ranked.number AS layer, pos.id, given.label, round(given.strength, 6) AS strength, round(given.persistence, 6) AS persistence FROM given JOIN ranked ON ranked.layer = given.layer JOIN pos ON pos.k = given.p + 1")
 def layers(spark, sf_dir):
     found = layers_of(_low(_vectors(spark, sf_dir)), ClusterParams())
-    return found.select("layer", "id", "label", r6("strength"), r6("persistence"))
+    return found.select(F.col("layer").cast("long").alias("layer"), "id", "label", r6("strength"), r6("persistence"))
 
 
-@query("search_n_clusters")
+@query(
+    "search_n_clusters",
+    f"""WITH RECURSIVE {_W}, {_REAL}, {_AT_TARGET.format(target=8)}, {_condensed_sql("(SELECT m FROM chosen)")},
+    s AS (SELECT c.child AS p, lab.label, CASE WHEN lab.label < 0 THEN 0 ELSE c."lambda" / max(c."lambda") OVER (PARTITION BY c.parent) END AS strength FROM (SELECT * FROM cond WHERE child_size = 1) c JOIN lab ON lab.id = c.child)
+    SELECT CAST(0 AS BIGINT) AS layer, pos.id, s.label, round(s.strength, 6) AS strength FROM s JOIN pos ON pos.k = s.p + 1""",
+)
 def fixed_number(spark, sf_dir):
     found = layers_of(_low(_vectors(spark, sf_dir)), ClusterParams(approx_n_clusters=8))
-    return found.select("layer", "id", "label", r6("strength"))
+    return found.select(F.col("layer").cast("long").alias("layer"), "id", "label", r6("strength"))
+
+
+# the dendrogram stages once more, on the spanning tree of the low-dimensional points
+
+
+def _low_link(spark, sf_dir):
+    return linkage(mst(_low(_vectors(spark, sf_dir)), MIN_SAMPLES))
+
+
+@query("linkage_mst", f"WITH RECURSIVE {_W}, {_REAL} SELECT id AS merge_id, greatest(a, b) AS left, least(a, b) AS right, round(w, 6) AS distance, size FROM nodes")
+def linkage_mst(spark, sf_dir):
+    return _low_link(spark, sf_dir).select("merge_id", "left", "right", r6("distance"), "size")
+
+
+@query("descendants_mst", f"WITH RECURSIVE {_W}, {_REAL} SELECT nodes.id AS node, leaves.leaf FROM nodes JOIN leaves ON leaves.place BETWEEN nodes.lo AND nodes.hi")
+def descendants_mst(spark, sf_dir):
+    return descendants(_low_link(spark, sf_dir))
+
+
+@query("condense_tree_mst", f"{_LOW_TREE} SELECT parent, child, round(\"lambda\", 6) AS \"lambda\", child_size FROM cond")
+def condense_tree_mst(spark, sf_dir):
+    return tree.condense_tree(_low_link(spark, sf_dir), MIN_SIZE).select("parent", "child", r6("lambda"), "child_size")
+
+
+@query("cluster_labels_mst", f"{_LOW_TREE} SELECT id, label FROM lab")
+def cluster_labels_mst(spark, sf_dir):
+    c = cut(tree.condense_tree(_low_link(spark, sf_dir), MIN_SIZE))
+    return tree.cluster_labels(c, tree.extract_leaves(c))
+
+
+@query("barcode_mst", f"{_LOW_TREE} SELECT cluster_id, size_birth, size_death, parent, round(lambda_death, 6) AS lambda_death FROM bars")
+def barcode_mst(spark, sf_dir):
+    bars = tree.barcode(tree.condense_tree(_low_link(spark, sf_dir), MIN_SIZE), MIN_SIZE)
+    return bars.select("cluster_id", "size_birth", "size_death", "parent", r6("lambda_death"))
 
 
 # --- whole pipeline -------------------------------------------------------------------------------
