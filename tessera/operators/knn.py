@@ -1,15 +1,16 @@
 """k nearest neighbours of every vector of a table.
 
-The table is cut into blocks of bounded size by a hash of the identifier. Each block in turn is
-indexed once on the driver and broadcast; every task searches it for its own rows, and the k
-best over all blocks are picked by one window per row. Memory is bounded by the block, the
-search set is spread evenly whatever the data look like, and the shuffle carries k rows per
-vector and block. With a single block, the kernel's answer is already final and nothing shuffles.
+The table is cut into blocks of bounded size by a hash of the identifier. A task for each block builds
+its index, which is written to the shared checkpoint folder once. Queries are cut into groups; every
+pair of a block and a group meets in one task, which searches the index for the group's rows, and the k
+best over all blocks are picked by one window per row. No vector reaches the driver, memory is
+bounded by the block, and the search is spread evenly whatever the data look like. With a single
+block, a task's answer is already final and the window is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,12 @@ from pyspark.sql.window import Window
 
 from tessera.operators.search import INDEXES
 from tessera.params import NearestNeighbourParams, resolve_method
+from tessera.runtime import cut
 
-#: Bytes of vectors in one broadcast block.
+#: Bytes of vectors in one block.
 BLOCK_BYTES = 64 << 20
+#: Queries that a task searches for at a time.
+QUERIES_AT_ONCE = 512
 METRICS = ("euclidean", "cosine")
 SCHEMA = "src long, rank int, dst long, dist double"
 
@@ -92,39 +96,33 @@ def knn(df: DataFrame, k: int, method: str = "kmknn", metric: str = "euclidean",
     size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d"), F.min(F.size("embedding")).alias("least")).first()
     if size["n"] and size["d"] != size["least"]:
         raise ValueError("vectors differ in length")
-    blocks = max(1, -(-size["n"] * (size["d"] or 1) * 8 // block_bytes))
-    # work spreads over the cores even where the table came as a single file
-    queries = df.select("id", "embedding")
-    if queries.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
-        queries = queries.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    out = None
-    for b in range(blocks if size["n"] else 0):
-        part = df.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else df
-        rows = part.select("id", "embedding").toArrow().combine_chunks()
-        if not rows.num_rows:
-            continue
-        x = _matrix(rows.column("embedding").combine_chunks())
-        block = _Block(rows.column("id").to_numpy(), x, method, metric, k, params, seed)
-        found = queries.mapInArrow(_searcher(df, block), SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    if not size["n"]:
         return df.sparkSession.createDataFrame([], SCHEMA)
+    blocks = max(1, -(-size["n"] * (size["d"] or 1) * 8 // block_bytes))
+    # as many groups as blocks, or as keep all cores busy
+    groups = max(blocks, -(-df.sparkSession.sparkContext.defaultParallelism // blocks))
+
+    def build(rows: pa.Table) -> pa.Table:
+        block = _Block(rows.column("id").to_numpy(), _matrix(rows.column("embedding").combine_chunks()), method, metric, k, params, seed)
+        return pa.table({"block": rows.column("block").slice(0, 1), "index": pa.array([pickle.dumps(block)], pa.binary())})
+
+    def search(asked: pa.Table, known: pa.Table) -> pa.Table:
+        parts = [tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, float))]
+        if known.num_rows:
+            block = pickle.loads(known.column("index")[0].as_buffer())
+            for a in range(0, asked.num_rows, QUERIES_AT_ONCE):
+                part = asked.slice(a, QUERIES_AT_ONCE)
+                parts.append(block.search(part.column("id").to_numpy(), _matrix(part.column("embedding").combine_chunks())))
+        return pa.table({c: np.concatenate([p[j] for p in parts]) for j, c in enumerate(("src", "rank", "dst", "dist"))})
+
+    rows = df.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    indexes = cut(rows.groupBy("block").applyInArrow(build, "block long, index binary"))
+    tiles = indexes.select("block", "index", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
+    queries = df.select("id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(groups)).cast("int").alias("grp"))
+    out = queries.groupBy("block", "grp").cogroup(tiles.groupBy("block", "grp")).applyInArrow(search, SCHEMA)
     return out if blocks == 1 else ranked(out.drop("rank"), k)
 
 
-def _searcher(df: DataFrame, block: _Block, rows: int = 512):
-    shared = df.sparkSession.sparkContext.broadcast(block)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, rows):
-                part = batch.slice(a, rows)
-                got = shared.value.search(part.column("id").to_numpy(), _matrix(part.column("embedding")))
-                yield pa.RecordBatch.from_arrays([pa.array(g) for g in got], names=["src", "rank", "dst", "dist"])
-
-    return search
-
-
 def nested(knn_rows: DataFrame) -> DataFrame:
     """(src, indices, distances): the neighbour lists by rank."""
     lists = knn_rows.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "dst", "dist"))).alias("l"))

@@ -75,38 +75,55 @@ class Ivf(Lists):
 
 
 class KmKnn(Lists):
-    """Exact: rows whose distance to their centre rules them out by the triangle are skipped."""
+    """Exact: parts of lists are skipped when the triangle rules out all of their rows.
+
+    A list is ordered by distance to its centre and cut into parts, rings around the centre. Each
+    query first sees the parts around it until they hold k rows, which bounds its k-th distance; then every
+    part that may hold a nearer row is compared with all queries that can't rule it out, as one matrix product.
+    """
+
+    PART = 4096
 
     def __init__(self, x: np.ndarray, params: NearestNeighbourParams, seed: int, k: int):
         super().__init__(x, params, seed, k)
-        self.radius = []
+        parts, centre, low, high = [], [], [], []
         for j, rows in enumerate(self.rows):
             r = np.sqrt(((x[rows] - self.c[j]) ** 2).sum(1))
             order = np.argsort(r, kind="stable")
-            self.rows[j] = rows[order]
-            self.radius.append(r[order])
+            for a in range(0, len(rows), self.PART):
+                some = order[a : a + self.PART]
+                parts.append(rows[some])
+                centre.append(j)
+                low.append(r[some[0]])
+                high.append(r[some[-1]])
+        self.parts, self.centre, self.low, self.high = parts, np.array(centre, int), np.array(low), np.array(high)
 
     def query(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        to_centre = np.sqrt(squared(q, self.c))
-        found = []
-        for v, dc in zip(q, to_centre, strict=True):
-            best = np.zeros(0)
-            rows = [np.zeros(0, np.int64)]
-            dist = [best]
-            for j in np.argsort(dc, kind="stable"):
-                limit = best[k - 1] + 1e-7 if len(best) >= k else np.inf
-                r = self.radius[j]
-                a, b = np.searchsorted(r, dc[j] - limit), np.searchsorted(r, dc[j] + limit, side="right")
-                if a >= b:
+        slack = 1e-9 * (1 + (q * q).sum(1))  # products round; exact distances decide later
+        away = np.sqrt(squared(q, self.c))[:, self.centre]
+        bound = np.maximum(np.maximum(away - self.high, self.low - away), 0)
+        reached = np.cumsum(np.array([len(p) for p in self.parts])[order := np.argsort(away + bound, axis=1, kind="stable")], axis=1)
+        early = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(early, order, reached < k, axis=1)
+        last = np.minimum((reached < k).sum(1), len(self.parts) - 1)
+        early[np.arange(len(q)), order[np.arange(len(q)), last]] = True
+        best = np.full((len(q), k), np.inf)  # squared
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        least = np.maximum(bound - 1e-6 * (1 + away), 0) ** 2
+        for turn in (early, ~early):
+            for j, rows in enumerate(self.parts):
+                who = np.flatnonzero(turn[:, j])
+                if turn is not early:
+                    who = who[least[who, j] <= best[who, -1] + slack[who]]
+                if not len(who):
                     continue
-                some = self.rows[j][a:b]
-                d = np.sqrt(((self.x[some] - v) ** 2).sum(1))
-                rows.append(some)
-                dist.append(d)
-                best = np.sort(np.concatenate([best, d]))[:k]
-            rows, dist = np.concatenate(rows), np.concatenate(dist)
-            found.append(rows[dist <= (best[-1] if len(best) else 0) + 1e-9])
-        return _flat(found)
+                d = squared(q[who], self.x[rows])
+                best[who] = np.sort(np.partition(np.concatenate([best[who], d], axis=1), k - 1, axis=1)[:, :k], axis=1)
+                at, row = np.nonzero(d <= (best[who, -1] + slack[who])[:, None])
+                found.append((who[at], rows[row], d[at, row]))
+        at, row, d = (np.concatenate([f[c] for f in found]) for c in range(3))
+        keep = d <= best[at, -1] + slack[at]
+        return at[keep], row[keep]
 
 
 class Forest:
