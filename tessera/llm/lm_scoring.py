@@ -19,6 +19,7 @@ chunk, however often it occurs, so none is hot.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ UNSEEN = 2.0**-20
 #: Identifiers of target texts up to this number are broadcast, more are shuffled.
 BROADCAST_IDS = 2_000_000
 #: Bytes of text whose counts or scores one group holds, unless one text has more.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 8 << 20
 #: Signs that are turned into words at a time.
 PIECE = 1 << 20
 #: The first sign of the scripts whose words aren't parted by blanks.
@@ -108,13 +109,15 @@ def _bigrams(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, mix(mix(flat[at - 1]) * _ODD + flat[at]) & KEPT
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of 8-byte numbers, all first ones first: sorted and small numbers then compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as the bytes of the steps between them, all first ones first, compressed: sorted hashes take under five bytes."""
+    steps = np.diff(x.astype(np.uint64), prepend=np.uint64(0))
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def _numbers(planes: bytes, kind) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+def _unpacked(packed: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64).astype(kind)
 
 
 def _slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
@@ -241,11 +244,11 @@ def add_scores(df: DataFrame, text_col: str = "text", target_col: str = "target"
         ends = np.searchsorted((codes >> np.uint64(32)) * np.uint64(chunks) >> np.uint64(32), np.arange(chunks + 1))
         spans = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a]
         number = table.column(chunk_at)[0].as_py()
-        packed = [pa.array([_planes(x[s]) for _, s in spans], pa.binary()) for x in (codes, target, other)]
+        packed = [pa.array([_packed(x[s]) for _, s in spans], pa.binary()) for x in (codes, target, other)]
         return pa.Table.from_arrays([pa.array([number] * len(spans), pa.int64()), pa.array([k for k, _ in spans], pa.int64()), *packed], names=["chunk", "bucket", "codes", "target", "other"])
 
     def answer(table: pa.Table) -> pa.Table:
-        sent = [[_numbers(p, kind) for p in table.column(c).to_pylist()] for c, kind in (("codes", np.uint64), ("target", np.int64), ("other", np.int64))]
+        sent = [[_unpacked(p, kind) for p in table.column(c).to_pylist()] for c, kind in (("codes", np.uint64), ("target", np.int64), ("other", np.int64))]
         codes, target, other = _added(*(np.concatenate(x) for x in sent))
         often = target + other > 1
         codes, target, other = codes[often], target[often], other[often]
@@ -253,11 +256,11 @@ def add_scores(df: DataFrame, text_col: str = "text", target_col: str = "target"
         for asked in sent[0]:
             at = np.searchsorted(codes, asked)
             at = at[(at < len(codes)) & (codes[np.minimum(at, len(codes) - 1)] == asked)] if len(codes) else at[:0]
-            back.append([_planes(x[at]) for x in (codes, target, other)])
+            back.append([_packed(x[at]) for x in (codes, target, other)])
         return pa.Table.from_arrays([table.column("chunk").combine_chunks(), *(pa.array([b[k] for b in back], pa.binary()) for k in range(3))], names=["chunk", "codes", "target", "other"])
 
     def score(docs: pa.Table, sums: pa.Table) -> pa.Table:
-        got = [np.concatenate([*(_numbers(p, kind) for p in sums.column(c).to_pylist()), np.zeros(0, kind)]) for c, kind in (("codes", np.uint64), ("target", np.int64), ("other", np.int64))]
+        got = [np.concatenate([*(_unpacked(p, kind) for p in sums.column(c).to_pylist()), np.zeros(0, kind)]) for c, kind in (("codes", np.uint64), ("target", np.int64), ("other", np.int64))]
         order = np.argsort(got[0], kind="stable")
         n, target, background, corpus = score_texts(*read(docs), tuple(x[order] for x in got), strength)
         new = [pa.array(n.astype(np.int64)), *(pa.array(x) for x in (target, background, corpus, background - target))]

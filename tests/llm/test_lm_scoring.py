@@ -86,6 +86,12 @@ def test_texts_are_read_in_pieces(monkeypatch):
     assert np.array_equal(flat, again[0]) and np.array_equal(bounds, again[1])
 
 
+def test_numbers_survive_packing():
+    rnd = np.random.default_rng(1)
+    for x in (np.sort(rnd.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2)), rnd.integers(0, 9, 50), np.zeros(0, np.int64), np.array([5, 1 << 40, 0])):
+        assert np.array_equal(lm._unpacked(lm._packed(x), x.dtype), x)
+
+
 def test_flags_are_the_same_broadcast_or_shuffled(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "doc_id long, Target string")
     good = spark.createDataFrame([(1, 1), (1, 1), (None, 1), (9, 1)], "doc_id long, quality int")
