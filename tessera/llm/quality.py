@@ -135,8 +135,9 @@ class Model:
     prior: float
 
 
-def _weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    x = np.sqrt(counts)
+def _weighted(counts: np.ndarray, weights: np.ndarray, own: bool = False) -> np.ndarray:
+    """Weighted terms of unit length; ``own`` counts are overwritten, which saves their copy."""
+    x = np.sqrt(counts, out=counts if own else None)
     x *= weights
     for part in (x[:, :TERMS], x[:, TERMS:]):  # words and the rest weigh the same
         norm = np.linalg.norm(part, axis=1, keepdims=True)
@@ -149,15 +150,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 1e-9, norm, 1)
 
 
-def fit_counts(counts: np.ndarray, labels: np.ndarray, prior: float, dimensions: int = DIMENSIONS) -> Model:
+def fit_counts(counts: np.ndarray, labels: np.ndarray, prior: float, dimensions: int = DIMENSIONS, own: bool = False) -> Model:
     """Latent space and labelled vectors from the term counts of the sample.
 
-    ``prior`` is the share of label 1 among all labels that may be learnt from.
+    ``prior`` is the share of label 1 among all labels that may be learnt from; ``own`` counts
+    are overwritten.
     """
     n = len(labels)
-    df = (counts > 0).sum(axis=0)
+    df = np.count_nonzero(counts, axis=0)
     weights = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0).astype(np.float32)
-    x = _weighted(counts, weights)
+    x = _weighted(counts, weights, own)
     # leading right singular vectors by subspace iteration from a fixed start
     k = min(dimensions, n) if n else 1
     q = np.linalg.qr(x.T @ np.random.default_rng(7).standard_normal((n, k + 8)).astype(np.float32))[0] if n else np.zeros((counts.shape[1], 1), np.float32)
@@ -178,7 +180,7 @@ def scores(texts: list[str], model: Model, neighbours: int = NEIGHBOURS, block:
         return out
     count = all_counts if len(model.weights) > TERMS else term_counts
     for at in range(0, len(texts), block):
-        v = _unit(_weighted(count(texts[at : at + block]), model.weights) @ model.axes)
+        v = _unit(_weighted(count(texts[at : at + block]), model.weights, own=True) @ model.axes)
         cosine = v @ model.vectors.T
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** SHARPNESS * model.mass[near]
@@ -229,11 +231,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     fields = [T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.FloatType()))]
     sample = append_columns(texts, "text", fields, factory).drop("text")
-    rows = sorted(sample.collect(), key=lambda r: (r["label"], r["draw"], r["doc_id"], r["terms"], r["counts"]))
-    counts = np.zeros((len(rows), TERMS + WORDS), dtype=np.float32)
-    for k, r in enumerate(rows):
-        counts[k, r["terms"]] = r["counts"]
-    return fit_counts(counts, np.array([r["label"] for r in rows], dtype=np.float32), sizes.get(1, 0) / sum(sizes.values()))
+    # as Arrow, which holds a number in four bytes, where rows of Python objects take some fifty
+    rows = sample.toArrow().combine_chunks().sort_by([("label", "ascending"), ("draw", "ascending"), ("doc_id", "ascending")])
+    counts = np.zeros((rows.num_rows, TERMS + WORDS), dtype=np.float32)
+    ends = np.cumsum(rows.column("terms").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)) if rows.num_rows else np.zeros(0, int)
+    place = np.repeat(np.arange(rows.num_rows), np.diff(ends, prepend=0))
+    flat = [rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("terms", "counts")] if rows.num_rows else [np.zeros(0, int)] * 2
+    counts[place, flat[0]] = flat[1]
+    drawn = rows.column("label").to_numpy().astype(np.float32)
+    del rows, flat, place
+    return fit_counts(counts, drawn, sizes.get(1, 0) / sum(sizes.values()), own=True)
 
 
 def add_score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
