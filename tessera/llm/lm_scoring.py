@@ -12,8 +12,8 @@ the whole corpus comes along; it is low for texts that the corpus has again.
 The counts grow with the corpus and are never gathered in one place. Texts are dealt into chunks of
 bounded size. A chunk sends its distinct n-grams with its counts to as many buckets of hashes as there are, packed
 in arrays; a bucket adds up what all chunks sent and answers each chunk with the sums of its own
-n-grams. N-grams that occur once in the corpus get no answer: without the text's own count they
-are at zero. Chunks then score their texts. A frequent n-gram is one entry from each
+n-grams, in the order in which they were sent. An answer holds no hashes: a chunk finds its distinct
+n-grams again from its texts. Chunks then score their texts. A frequent n-gram is one entry from each
 chunk, however often it occurs, so none is hot.
 """
 
@@ -246,23 +246,22 @@ def add_scores(df: DataFrame, text_col: str = "text", target_col: str = "target"
 
     def answer(table: pa.Table) -> pa.Table:
         sent = [[_unpacked(p, kind) for p in table.column(c).to_pylist()] for c, kind in (("codes", np.uint64), ("target", np.int64), ("other", np.int64))]
-        codes, target, other = _added(*(np.concatenate(x) for x in sent))
-        often = target + other > 1
-        codes, target, other = codes[often], target[often], other[often]
-        back = []
-        for asked in sent[0]:
-            at = np.searchsorted(codes, asked)
-            at = at[(at < len(codes)) & (codes[np.minimum(at, len(codes) - 1)] == asked)] if len(codes) else at[:0]
-            back.append([_packed(x[at]) for x in (codes, target, other)])
-        return pa.Table.from_arrays([table.column("chunk").combine_chunks(), *(pa.array([b[k] for b in back], pa.binary()) for k in range(3))], names=["chunk", "codes", "target", "other"])
+        codes, *sums = _added(*(np.concatenate(x) for x in sent))
+        places = [np.searchsorted(codes, asked) for asked in sent[0]]
+        packed = [pa.array([_packed(x[at]) for at in places], pa.binary()) for x in sums]
+        return pa.Table.from_arrays([table.column("chunk").combine_chunks(), table.column("bucket").combine_chunks(), *packed], names=["chunk", "bucket", "target", "other"])
 
     def score(docs: pa.Table, sums: pa.Table) -> pa.Table:
-        got = [np.concatenate([*(_unpacked(p, kind) for p in sums.column(c).to_pylist()), np.zeros(0, kind)]) for c, kind in (("codes", np.uint64), ("target", np.int64), ("other", np.int64))]
-        order = np.argsort(got[0], kind="stable")
-        n, target, background, corpus = score_texts(*read(docs), tuple(x[order] for x in got), strength)
+        texts, flags = read(docs)
+        codes = chunk_counts(texts, flags)[0]
+        sums = sums.sort_by("bucket")  # spans of hashes in order, as the codes are
+        got = [np.concatenate([_unpacked(p, np.int64) for p in sums.column(c).to_pylist()]) for c in ("target", "other")]
+        if len(got[0]) != len(codes):
+            raise ValueError("the texts of a chunk changed between counting and scoring; give add_scores a table that reads the same twice")
+        n, target, background, corpus = score_texts(texts, flags, (codes, *got), strength)
         new = [pa.array(n.astype(np.int64)), *(pa.array(x) for x in (target, background, corpus, background - target))]
         return pa.Table.from_arrays([*docs.columns[:chunk_at], *new], names=[*docs.column_names[:chunk_at], *(f.name for f in fields)])
 
     sent = dealt.groupBy(chunk).applyInArrow(count, "chunk long, bucket long, codes binary, target binary, other binary")
-    sums = sent.groupBy("bucket").applyInArrow(answer, "chunk long, codes binary, target binary, other binary")
+    sums = sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, target binary, other binary")
     return dealt.groupBy(chunk).cogroup(sums.groupBy("chunk")).applyInArrow(score, T.StructType([*df.schema.fields, *fields]))
