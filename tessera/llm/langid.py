@@ -9,7 +9,8 @@ the largest cosine with its own vector.
 
 Words are runs of letters in lower case, with a blank on either side. Each slice of rows finds
 its distinct trigrams and their counts once; bundling is one matrix product of counts with
-trigram vectors. A text is held in memory whole, with some 60 bytes a sign while its trigrams are counted.
+trigram vectors. A text of more than ``PIECE`` signs is counted piece by piece, with the same result: it costs memory
+for its lower case, one piece and its distinct trigrams.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ DIMENSIONS = 512
 PER_LANGUAGE = 3000
 UNKNOWN = "und"
 SLICE_BYTES = 1 << 20
+#: Signs of a longer text whose trigrams are counted at a time.
+PIECE = 1 << 20
 
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -55,9 +58,34 @@ def trigram_vectors(trigrams: np.ndarray, dimensions: int = DIMENSIONS) -> np.nd
     return np.roll(vectors, 2, axis=1)[place[:, 0]] * np.roll(vectors, 1, axis=1)[place[:, 1]] * vectors[place[:, 2]]
 
 
+def _long_vector(text: str, dimensions: int) -> np.ndarray:
+    """The bundle of one text, counted in pieces; the last two signs of a piece begin the next one."""
+    low = f" {text} ".lower()
+    distinct, counts, last = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k in range(0, len(low), PIECE):
+        cps = flat_codepoints([low[k : k + PIECE]])[0]
+        signs = np.concatenate([last, np.where(_letters()[cps], cps, 32).astype(np.int64)])
+        keep = np.ones(len(signs), dtype=bool)
+        keep[1:] = (signs[1:] != 32) | (signs[:-1] != 32)
+        signs = signs[keep]
+        last = signs[-2:]
+        gram, n = np.unique((signs[:-2] << 42) | (signs[1:-1] << 21) | signs[2:], return_counts=True)
+        distinct, at = np.unique(np.concatenate([distinct, gram]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(distinct)).astype(np.int64)
+    out = np.zeros(dimensions, dtype=np.float32)
+    sign = (1 << 21) - 1
+    for k in range(0, len(distinct), 8192):
+        gram = distinct[k : k + 8192]
+        trigrams = np.stack([gram >> 42, gram >> 21 & sign, gram & sign], axis=1)
+        out += np.log1p(counts[k : k + 8192]).astype(np.float32) @ trigram_vectors(trigrams, dimensions).astype(np.float32)
+    return out
+
+
 def text_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """Bundles (float32, texts x dimensions) of each text's trigrams; zero without letters."""
     n = len(texts)
+    if n == 1 and len(texts[0]) > PIECE:  # slices leave texts of that length alone
+        return _long_vector(texts[0], dimensions)[None, :]
     out = np.zeros((n, dimensions), dtype=np.float32)
     cps, bounds = flat_codepoints([f" {t} ".lower() for t in texts])
     letter = _letters()[cps]
@@ -148,7 +176,7 @@ def add_language(df: DataFrame, profiles: Profiles, text_col: str = "text", lang
 
     A null text and one without a letter is "und" with score 0, as is every text if there are
     no profiles. A tie goes to the language that sorts first. Rows, repeated ones too, don't influence
-    each other; long texts count whole. A taken name is lengthened by underscores (case ignored).
+    each other; long texts count whole, in pieces. A taken name is lengthened by underscores (case ignored).
     """
     shared = df.sparkSession.sparkContext.broadcast(profiles)
 

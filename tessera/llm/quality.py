@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.batches import append_columns, flat_codepoints, only
+from tessera.llm.batches import append_columns, cut_text, flat_codepoints, only
 from tessera.llm.words import runs, word_spans, word_hashes
 
 #: Labelled texts of each class that a fit uses at most.
@@ -32,6 +32,8 @@ NEIGHBOURS = 15
 THRESHOLD = 0.7
 #: Text that is turned into term counts at a time.
 SLICE_BYTES = 1 << 20
+#: Signs of a longer text whose terms are counted at a time.
+PIECE = 1 << 20
 #: Weight of a neighbour: its cosine to this power.
 SHARPNESS = 8
 
@@ -91,6 +93,28 @@ def term_counts(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _long_counts(text: str) -> np.ndarray:
+    """``term_counts`` of one text, counted in pieces; kinds and words that end a piece begin the next one."""
+    out = np.zeros(TERMS)
+    kind, codes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    for piece in cut_text(text, PIECE):
+        cps, bounds = flat_codepoints([piece])
+        kind = np.concatenate([kind, _TABLE[0][cps]])
+        keep = np.ones(len(kind), dtype=bool)
+        keep[1:] = (kind[1:] != kind[:-1]) | ~np.isin(kind[1:], JOINED)
+        kind = kind[keep]
+        if len(kind) >= 3:
+            out += np.bincount((kind[:-2] * CLASSES + kind[1:-1]) * CLASSES + kind[2:], minlength=TERMS)
+        kind = kind[-2:]
+        before = len(codes)
+        codes = np.concatenate([codes, word_hashes(cps, *word_spans(cps, bounds))])
+        for back in (1, 2):
+            new = np.arange(max(before, back), len(codes))
+            out[TERMS - back] += np.count_nonzero(codes[new] == codes[new - back])
+        codes = codes[-2:]
+    return out
+
+
 def _lower_table() -> np.ndarray:
     table = np.arange(0x110000, dtype=np.uint32)
     for c in range(0x3000):
@@ -119,8 +143,14 @@ def word_counts(texts: list[str]) -> np.ndarray:
 
 
 def all_counts(texts: list[str]) -> np.ndarray:
-    """Counts (texts x TERMS + WORDS) of all terms."""
-    return np.hstack([term_counts(texts), word_counts(texts)])
+    """Counts (texts x TERMS + WORDS) of all terms; a text of more than PIECE signs is counted in pieces."""
+    out = np.hstack([term_counts([t if len(t) <= PIECE else "" for t in texts]), word_counts([t if len(t) <= PIECE else "" for t in texts])])
+    for k, text in enumerate(texts):
+        if len(text) > PIECE:
+            out[k, :TERMS] = _long_counts(text)
+            for piece in cut_text(text, PIECE):
+                out[k, TERMS:] += word_counts([piece])[0]
+    return out
 
 
 @dataclass(frozen=True)
@@ -248,7 +278,7 @@ def add_score(df: DataFrame, model: Model, text_col: str = "text", score_col: st
 
     Null and empty texts, and all texts if no label was learnt, score the prior: the share of
     label 1 among the labels (0.5 without any). Rows, repeated ones too, are independent of each other;
-    long texts count whole, with some 45 bytes of memory a sign. A taken name is lengthened by underscores (case ignored).
+    long texts count whole, in pieces of PIECE signs, where a run of more than half a piece without a blank may count as two words. A taken name is lengthened by underscores (case ignored).
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

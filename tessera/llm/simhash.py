@@ -19,6 +19,7 @@ between each fingerprint and the first of its piece, not pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -41,27 +42,41 @@ PROBE = 30_000
 #: Identifiers of dropped rows up to this number are broadcast, more are shuffled.
 BROADCAST_IDS = 2_000_000
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
+#: Bytes of a text whose words are split at a time, and the rest of the last word.
+PIECE = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def fingerprint(text: str, words: int) -> int:
     """Bits set in over half the XXH64 values of the text's word shingles; 0 without words."""
-    found = text.encode("utf-8", "replace").translate(_LOWER).split()  # splits at 0x20 and 0x09 to 0x0D
-    if not found:
-        return 0
-    if len(found) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(found), SEED)
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
+    data = text.encode("utf-8", "replace").translate(_LOWER)
     digest = xxhash.xxh64_intdigest
-    spans = zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
-    codes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(found) - words + 1)
-    counts = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(codes), 1 << 16):
-        part = codes[k : k + (1 << 16)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(codes), bitorder="little").view(np.uint64)[0])
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    last: list[bytes] = []  # words whose shingles go on in the next piece
+    at = 0
+    while at < len(data):
+        gap = _BLANK.search(data, at + PIECE)
+        end = gap.start() if gap else len(data)
+        found = last + data[at:end].split()  # splits at 0x20 and 0x09 to 0x0D
+        at = end
+        size = len(found) - words + 1
+        if size < 1:
+            last = found
+            continue
+        last = found[size:]
+        joined = b" ".join(found)
+        ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        spans = zip(starts[:size].tolist(), ends[words - 1 :].tolist(), strict=True)
+        codes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=size)
+        for k in range(0, size, 1 << 16):
+            part = codes[k : k + (1 << 16)]
+            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += size
+    if not n:
+        return digest(b" ".join(last), SEED) if last else 0
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 def add_fingerprint(df: DataFrame, text_col: str, out_col: str, words: int = 3) -> DataFrame:

@@ -70,3 +70,27 @@ def test_empty_tables(spark):
     assert langid.add_language(empty, profiles, score_col="cosine").count() == 0
     one = spark.createDataFrame([(1, "words", None, None, None)], SCHEMA)
     assert [(r.lang_pred, r.cosine) for r in langid.add_language(one, profiles, score_col="cosine").collect()] == [("und", 0.0)]
+
+
+def test_a_text_in_pieces_has_the_same_bundle(monkeypatch):
+    rnd = random.Random(5)
+    signs = "abc ΣςİßÄ中文é \n.,1  "
+    for size in (1, 7, 300, 5000):
+        text = "".join(rnd.choices(signs, k=size))
+        whole = langid.text_vectors([text])
+        for piece in (1, 2, 3, 64):
+            monkeypatch.setattr(langid, "PIECE", piece)
+            assert np.allclose(langid._long_vector(text, langid.DIMENSIONS)[None, :], whole, rtol=1e-4, atol=1e-2)
+        monkeypatch.undo()
+
+
+def test_a_very_long_text_takes_little_memory():
+    import tracemalloc
+
+    text = "The quick brown fox, and ünï 中文. " * 400_000  # 13 million signs
+    langid.text_vectors(["warm up"])
+    tracemalloc.start()
+    langid.text_vectors([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(text) + (120 << 20)

@@ -129,3 +129,14 @@ def test_repeated_identifiers_crowd_nothing_out(spark):
     learnt = [y for i, y, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2]
     assert sorted(a.labels) == sorted(b.labels) == sorted(learnt)
     assert np.allclose(a.vectors @ a.vectors.T, b.vectors @ b.vectors.T, atol=1e-3)
+
+
+def test_a_text_in_pieces_has_the_same_counts(monkeypatch):
+    rnd = random.Random(9)
+    for size in (1, 3, 40, 400):
+        text = " ".join("".join(rnd.choices("abÄ中Z.,$1", k=rnd.randint(1, 3))) + rnd.choice(["", "!", "\n"]) for _ in range(size)) + rnd.choice(["", "  "])
+        whole = quality.all_counts(["x y", text, ""])
+        for piece in (16, 33, 64):
+            monkeypatch.setattr(quality, "PIECE", piece)
+            assert np.array_equal(quality.all_counts(["x y", text, ""]), whole)
+        monkeypatch.undo()

@@ -142,3 +142,16 @@ def test_lists_that_span_batches(monkeypatch):
         batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + size]), pa.array(fps[k : k + size].view(np.int64))], names=["key", "fp"]) for k in range(0, len(keys), size)]
         return sorted((a, b) for x in simhash._links(iter(batches)) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist()))
     assert links(7) == links(1000) == links(1)
+
+
+def test_a_text_in_pieces_has_the_same_fingerprint(monkeypatch):
+    rnd = random.Random(8)
+    for size in (0, 1, 2, 3, 4, 50, 700):
+        words = ["".join(rnd.choices("abÄ中Z", k=rnd.randint(1, 9))) for _ in range(size)]
+        text = "".join(w + rnd.choice([" ", "\n\n", "\t \r", "\x0b\x0c"]) for w in words)
+        for n in (1, 3, 5):
+            whole = simhash.fingerprint(text, n)
+            for piece in (1, 2, 5, 64):
+                monkeypatch.setattr(simhash, "PIECE", piece)
+                assert simhash.fingerprint(text, n) == whole
+            monkeypatch.undo()
