@@ -170,7 +170,7 @@ def _weighted(counts: np.ndarray, weights: np.ndarray, own: bool = False) -> np.
     x = np.sqrt(counts, out=counts if own else None)
     x *= weights
     for part in (x[:, :TERMS], x[:, TERMS:]):  # words and the rest weigh the same
-        norm = np.linalg.norm(part, axis=1, keepdims=True)
+        norm = np.sqrt(np.einsum("ij,ij->i", part, part))[:, None]  # without a copy of the part
         part /= np.where(norm > 0, norm, 1)
     return x
 
