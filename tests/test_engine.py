@@ -89,6 +89,40 @@ def test_recall_on_blobs(spark, method, least):
     assert rows(knn(df.repartition(5), 10, method)) == got
 
 
+@pytest.mark.parametrize("method", ["ivf", "annoy", "hnsw", "nndescent", "balltree"])
+def test_full_budget_is_exact_and_proposes_few_rows(method):
+    """Also where groups are far apart, or copies of one vector; what is held grows with k, not with the block."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.random((150, 4)), 50 + rng.random((40, 4)), np.ones((60, 4)) * -9])
+    full = NearestNeighbourParams(n_probes=1 << 20, search_budget=1 << 40, bt_budget=1.0, ef_search=1 << 20, ef_budget=1 << 20)
+    at, row = search.INDEXES[method](x, full, 42, 6).query(x[:190], 6)
+    assert len(at) <= 190 * 8
+    want = np.argsort(((x[:190, None] - x[None]) ** 2).sum(2), axis=1, kind="stable")[:, :6]
+    assert {(i, int(j)) for i, w in enumerate(want) for j in w} <= set(zip(at.tolist(), row.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("method", ["ivf", "annoy", "balltree"])
+def test_budgets_are_raised_until_neighbours_are_found(method):
+    """Without clusters the reference's budgets see too little."""
+    x = np.random.default_rng(9).normal(size=(1500, 24))
+    share = []
+    for least in (0.9, 0):
+        at, row = search.INDEXES[method](x, NearestNeighbourParams(least_recall=least, n_tree=10), 42, 11).query(x[:300], 11)
+        d = ((x[:300, None] - x[None]) ** 2).sum(2)
+        want = {(i, int(j)) for i, w in enumerate(np.argsort(d, axis=1)[:, 1:11]) for j in w}
+        share.append(len(want & set(zip(at.tolist(), row.tolist(), strict=True))) / len(want))
+    assert share[0] >= 0.9 > share[1]
+
+
+def test_centres_hold_no_whole_table_of_distances(monkeypatch):
+    """Rows x centres are made in pieces."""
+    seen, real = [], search.squared
+    monkeypatch.setattr(search, "PAIRS", 5000)
+    monkeypatch.setattr(search, "squared", lambda a, b: seen.append(len(a) * len(b)) or real(a, b))
+    search.BallTree(np.random.default_rng(1).random((1000, 3)), NearestNeighbourParams(least_recall=0), 42, 5)
+    assert max(seen) <= 5000
+
+
 def test_search_edge_cases(spark):
     one = points(spark, [[1.0, 2.0]])
     assert knn(one, 3).count() == 0 and knn(one.limit(0), 3).count() == 0
@@ -299,6 +333,30 @@ def test_tree_equals_kruskal(spark, one_task_rows, k):
     assert got == slow_mst(x, k)
 
 
+def test_boxes_equal_brute_force_and_pass_over_most_pairs(monkeypatch):
+    """Best edges out with ties, copies and bounds of components; far boxes aren't compared."""
+    from tessera.operators import mst as module
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.random((2000, 3)), rng.integers(0, 4, (300, 3)) / 3, np.zeros((40, 3))])
+    ids, core, comp = rng.permutation(9000)[: len(x)], rng.random(len(x)) / 20, rng.integers(0, 900, len(x))
+    known, pairs, real = module.Boxes(ids, x, core), [], module._gap
+    monkeypatch.setattr(module, "_gap", lambda a, b: pairs.append(len(a) * len(b)) or real(a, b))
+    own = comp[known.order]
+    best, other = module.nearest_other(known, own, known, own, None)
+    assert sum(pairs) < 0.5 * len(x) ** 2
+    w = np.maximum(real(known.x, known.x), np.maximum(known.core[:, None], known.core[None]))
+    w[own[:, None] == own[None]] = np.inf
+    assert (best == w.min(1)).all()
+    assert (other == np.where(w == w.min(1)[:, None], known.ids[None], 1 << 40).min(1)).all()
+    got, _ = module.nearest_other(known, own, known, own, np.full(900, np.inf))
+    least = np.full(900, np.inf)
+    np.minimum.at(least, own, best)
+    mine = np.full(900, np.inf)
+    np.minimum.at(mine, own, got)
+    assert (mine == least).all()
+
+
 def test_tree_by_hand(spark):
     assert rows(mst(points(spark, [[0, 0], [3, 4]]), 1)) == [(0, 1, 5.0)]
     assert sum(w for _, _, w in rows(mst(points(spark, [[i] for i in range(5)]), 1))) == 4
