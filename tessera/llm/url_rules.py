@@ -9,9 +9,9 @@ tokens are compared with all of these, and the most confident one that fits deci
 
 Every host label, path segment, query key and query pair of a URL is a token. Only tokens with the least
 support are mined, which loses no rule. A set of up to ``TOGETHER`` of them is mined whole. A larger one
-is cut into blocks of ``BLOCK`` tokens, and each two blocks are mined together: all
-combinations within any two blocks are found, pairs of tokens always, and a transaction never has more than
-2**TOGETHER subsets, however long its URL. Combinations that need three blocks are not mined. As such a set
+is cut into blocks of ``BLOCK`` tokens, and each two blocks are mined together, so that a transaction never has
+more than 2**TOGETHER subsets, however long its URL. What needs three blocks, or is frequent only over
+several sets' blocks, is found level by level (``_levels``), which loses no rule either. As such a set
 gives several transactions, mining only proposes combinations; support and confidence are counted
 anew over the labelled sets, each weighted by its URLs. URLs are matched by their distinct token sets;
 the few sets that very many URLs share are joined back by broadcast.
@@ -131,6 +131,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     found = FPGrowth(itemsCol="items", minSupport=max(least - 0.5, 0.5) / rows).fit(baskets).freqItemsets
     verdicts = F.filter("items", lambda t: F.startswith(t, F.lit("verdict=")))
     proposed = found.select(F.get(verdicts, F.lit(0)).alias("goal"), F.sort_array(F.array_except("items", verdicts)).alias("placed")).where("goal IS NOT NULL AND size(placed) > 0")
+    if not sets.where(F.size("items") > TOGETHER).isEmpty():
+        proposed = proposed.unionByName(_levels(sets, least).crossJoin(F.broadcast(sets.select(goal.alias("goal")).distinct()))).distinct()
     antecedent = F.sort_array(_bare("placed"))
     filed = proposed.select(F.substring("goal", 9, 1000).alias("verdict"), antecedent.alias("antecedent"), F.get(_bare("placed"), F.lit(0)).alias("token"))
     filed = cut(filed.withColumn("rule_id", F.xxhash64("verdict", "antecedent")))
@@ -141,13 +143,52 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     named = cut(filed.join(good, "rule_id").select("rule_id", "verdict", (F.col("both") / F.col("all")).alias("confidence"), (F.col("both") / n).alias("support"), "antecedent", "token"))
     # a rule is idle if one with some of its tokens, the same verdict and no less confidence exists: its
     # at most 1,022 smaller combinations are looked up, so the work grows with the rules, not their pairs
+    # (those of the rare longer ones are looked up as a URL's rules are)
     masks = F.expr("sequence(1, shiftleft(1, size(antecedent)) - 2)")
     part = F.transform(masks, lambda m: F.filter("antecedent", lambda t, i: F.getbit(m, i) == 1))
-    smaller = named.where("size(antecedent) > 1").select("rule_id", "verdict", F.col("confidence").alias("least"), F.explode(part).alias("antecedent"))
+    smaller = named.where(f"size(antecedent) BETWEEN 2 AND {TOGETHER}").select("rule_id", "verdict", F.col("confidence").alias("least"), F.explode(part).alias("antecedent"))
     covered = smaller.join(named.select("verdict", "antecedent", "confidence"), ["verdict", "antecedent"]).where("confidence >= least").select("rule_id").distinct()
+    long = named.where(F.size("antecedent") > TOGETHER).select(F.col("rule_id").alias("long_id"), F.col("verdict").alias("same"), F.col("confidence").alias("least"), F.col("antecedent").alias("whole"))
+    if not long.isEmpty():
+        within = _fitting(long, "whole", named).where((F.col("same") == F.col("verdict")) & (F.col("confidence") >= F.col("least")) & (F.size("antecedent") < F.size("whole")))
+        covered = covered.unionByName(within.select(F.col("long_id").alias("rule_id"))).distinct()
     return named.join(covered, "rule_id", "left_anti")
 
 
+def _levels(sets: DataFrame, least: int) -> DataFrame:
+    """(placed) every combination that can be a rule of the weighted sets (items, verdict, n), whatever their length.
+
+    A combination found in the same rows as a part of it says no more than the part, and one of whose rows all
+    have one verdict can't be bettered. So only combinations that are rarer than each of their parts, with ``least``
+    rows of a verdict and with rows of another, are joined to longer ones; that drops rules only that a shorter one covers.
+    """
+    said = cut(sets.select("items", F.col("verdict").alias("said"), "n"))
+
+    def counted(candidates: DataFrame) -> DataFrame:
+        hits = _fitting(said, "items", candidates.withColumn("token", F.get("antecedent", F.lit(0))))
+        by = hits.groupBy("antecedent", "said").agg(F.sum("n").alias("n"))
+        return by.groupBy("antecedent").agg(F.sum("n").alias("all"), F.max("n").alias("most")).where(F.col("most") >= least)
+
+    single = said.select(F.explode("items").alias("item")).distinct()
+    now = cut(counted(single.select(F.array("item").alias("antecedent"))))
+    out, k = now.select(F.col("antecedent").alias("placed")), 1
+    while True:
+        open_ = cut(now.where("most < all").select("antecedent", "all"))
+        head, last = F.slice("antecedent", 1, k - 1) if k > 1 else F.array().cast("array<string>"), F.element_at("antecedent", k)
+        a, b = open_.select(head.alias("head"), last.alias("x")), open_.select(head.alias("head"), last.alias("y"))
+        longer = cut(a.join(b, "head").where("x < y").select(F.concat("head", F.array("x", "y")).alias("longer")))
+        if longer.isEmpty():
+            return out
+        # all parts that lack one token must be there; the rarest of them bounds the rows
+        part = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda j: F.filter("longer", lambda t, i: i != j))
+        parts = longer.select("longer", F.explode(part).alias("antecedent")).join(open_, "antecedent").groupBy("longer").agg(F.count(F.lit(1)).alias("parts"), F.min("all").alias("rows"))
+        candidates = cut(parts.where(F.col("parts") == k + 1).select(F.col("longer").alias("antecedent"), "rows"))
+        now = cut(counted(candidates.select("antecedent")).join(candidates, "antecedent").where("all < rows").select("antecedent", "all", "most"))
+        if now.isEmpty():
+            return out
+        out, k = out.unionByName(now.select(F.col("antecedent").alias("placed"))), k + 1
+
+
 def _bare(items: str) -> Column:
     """Items without the places in front of their tokens."""
     return F.transform(items, lambda t: F.substring(t, PLACE + 1, 1 << 30))

@@ -107,6 +107,27 @@ def test_long_sets_are_mined_in_pairs_of_blocks(spark):
     assert {k: x for k, x in got.items() if len(k[1]) <= 2} == want and want
 
 
+def test_long_sets_lose_no_rule(spark):
+    """Thirteen frequent tokens; three far ones together decide, and no two of them do."""
+    rnd = random.Random(7)
+    names = [f"t{j:02}" for j in range(13)]
+    rows = []
+    for k in range(80):
+        gone = {rnd.choice(names) for _ in range(k % 3)}
+        t = [n for n in names if n not in gone]
+        rows.append((t, "block" if {"t00", "t05", "t11"} <= set(t) else "allow"))
+    alone, both = Counter(), Counter()
+    for t, v in rows:
+        for k in range(1, len(t) + 1):
+            for c in combinations(t, k):
+                alone[c] += 1
+                both[c, v] += 1
+    good = {(v, c): n / alone[c] for (c, v), n in both.items() if n >= 4 and n / alone[c] >= 0.6}
+    want = {(v, c): f for (v, c), f in good.items() if not any(good.get((v, p), 0) >= f for k in range(1, len(c)) for p in combinations(c, k))}
+    got = {(r.verdict, tuple(r.antecedent)): r.confidence for r in u.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.6, 2).collect()}
+    assert ("block", ("t00", "t05", "t11")) in want and {k: round(x, 9) for k, x in got.items()} == {k: round(x, 9) for k, x in want.items()}
+
+
 def test_one_set_in_most_rows_is_spread(spark):
     """The join back of a token set that 80 % of the rows share, without adaptive execution."""
     rows = [(k, "http://hot.example.net/en/1", "", 1) for k in range(800)] + [(1000 + k, f"http://h{k}.example.{'com' if k % 2 else 'org'}/{'fr' if k % 2 else 'en'}/{k}", "", 1) for k in range(200)]
