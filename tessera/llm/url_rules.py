@@ -176,6 +176,8 @@ def _levels(sets: DataFrame, least: int) -> DataFrame:
         open_ = cut(now.where("most < all").select("antecedent", "all"))
         head, last = F.slice("antecedent", 1, k - 1) if k > 1 else F.array().cast("array<string>"), F.element_at("antecedent", k)
         a, b = open_.select(head.alias("head"), last.alias("x")), open_.select(head.alias("head"), last.alias("y"))
+        # single tokens have no head to meet by: shuffled, they would be a product of all partitions; they are few
+        b = F.broadcast(b) if k == 1 or open_.count() <= BROADCAST_RULES else b
         longer = cut(a.join(b, "head").where("x < y").select(F.concat("head", F.array("x", "y")).alias("longer")))
         if longer.isEmpty():
             return out

@@ -128,6 +128,23 @@ def test_long_sets_lose_no_rule(spark):
     assert ("block", ("t00", "t05", "t11")) in want and {k: round(x, 9) for k, x in got.items()} == {k: round(x, 9) for k, x in want.items()}
 
 
+def test_long_sets_need_no_product_of_partitions(spark, monkeypatch):
+    """Single tokens have no key to meet by: joined by a shuffle, 23 partitions made 529 tasks and files."""
+    held, made = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}, []
+    before, cut = {k: spark.conf.get(k) for k in held}, u.cut
+    monkeypatch.setattr(u, "cut", lambda df: made.append((out := cut(df)).rdd.getNumPartitions()) or out)
+    names = [f"t{j:02}" for j in range(13)]
+    rows = [([n for j, n in enumerate(names) if (k + j) % 7], "block" if k % 3 else "allow") for k in range(40)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert u.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.6, 2).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(made) < 23 * 23
+
+
 def test_one_set_in_most_rows_is_spread(spark):
     """The join back of a token set that 80 % of the rows share, without adaptive execution."""
     rows = [(k, "http://hot.example.net/en/1", "", 1) for k in range(800)] + [(1000 + k, f"http://h{k}.example.{'com' if k % 2 else 'org'}/{'fr' if k % 2 else 'en'}/{k}", "", 1) for k in range(200)]
