@@ -370,6 +370,20 @@ def test_tree_by_hand(spark):
     assert [r.core for r in core_distance(points(spark, [[0.0], [1.0], [5.0]]), 9).orderBy("id").collect()] == [5.0, 4.0, 5.0]
 
 
+@pytest.mark.parametrize("k", [0, 4])
+def test_tree_of_one_block_is_broadcast_once(spark, monkeypatch, k):
+    """One block needs no table of neighbours and no checkpoint in a round; all ways grow the same tree, with many ties and any ids."""
+    from tessera.operators import mst as module
+
+    x = np.round(np.random.default_rng(k).normal(size=(300, 3)) * 2) / 2
+    df = points(spark, x).selectExpr("id * 7 - 900 AS id", "embedding")
+    want, blocks = rows(mst(df, k)), rows(mst(df, k, one_task_rows=3, block_rows=0))
+    cuts, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda frame: cuts.append(1) or cut(frame))
+    monkeypatch.setattr(module, "knn", None)
+    assert rows(mst(df, k, one_task_rows=3)) == want == blocks and len(want) == 299 and len(cuts) == 1
+
+
 def test_nearest_other_component_in_blocks(spark):
     x, _ = blob_arrays(15, 3, 3, 4, 1.0, 5)
     df = points(spark, x).join(core_distance(points(spark, x), 3), "id").withColumn("comp", F.col("id") % 4).cache()
