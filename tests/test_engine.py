@@ -384,6 +384,30 @@ def test_tree_of_one_block_is_broadcast_once(spark, monkeypatch, k):
     assert rows(mst(df, k, one_task_rows=3)) == want == blocks and len(want) == 299 and len(cuts) == 1
 
 
+def test_leaves_are_counted_without_walking_the_tree(monkeypatch):
+    """The search condenses the tree at its two last sizes at most; sizes and labels are those of counting leaves."""
+    from tessera.operators import tree as module
+
+    rng = np.random.default_rng(5)
+    x = np.round(np.concatenate([rng.normal(c, 0.6, (60, 2)) for c in ((0, 0), (4, 0), (0, 5), (6, 6))]), 1)
+    link = merge_edges(*grow_tree(np.arange(240), x, np.zeros(240)), np.arange(240))
+    arrays = [link[c].to_numpy() for c in ("left", "right", "distance", "size")]
+    condense, walks = module.condense_arrays, []
+    monkeypatch.setattr(module, "condense_arrays", lambda *a: walks.append(a[-1]) or condense(*a))
+    for target in range(1, 12):
+        walks.clear()
+        labels, strengths = module.search_arrays(*arrays, target)
+        assert len(walks) <= 2
+        count = lambda m: len(module.leaf_clusters(condense(*arrays, m)))
+        lo, hi = 2, 120
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if count(mid) < target else (mid, hi)
+        found = [(abs(count(m) - target), *module.label_arrays(c := condense(*arrays, m), module.leaf_clusters(c))) for m in (lo, hi)]
+        want = min(found, key=lambda f: (f[0], -(f[1] >= 0).sum()))
+        assert (labels == want[1]).all() and (strengths == want[2]).all()
+
+
 def test_nearest_other_component_in_blocks(spark):
     x, _ = blob_arrays(15, 3, 3, 4, 1.0, 5)
     df = points(spark, x).join(core_distance(points(spark, x), 3), "id").withColumn("comp", F.col("id") % 4).cache()
