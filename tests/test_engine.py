@@ -384,6 +384,26 @@ def test_tree_of_one_block_is_broadcast_once(spark, monkeypatch, k):
     assert rows(mst(df, k, one_task_rows=3)) == want == blocks and len(want) == 299 and len(cuts) == 1
 
 
+@pytest.mark.parametrize("offset", [0, 1000])
+def test_parts_are_compared_by_one_product(monkeypatch, offset):
+    """Exact, copies and far origins too; only the centres need distances in full, and what speeds the products isn't written."""
+    import pickle
+
+    from tessera.operators import search as module
+    from tessera.params import NearestNeighbourParams
+
+    x = np.random.default_rng(1).normal(size=(1500, 16)) + offset
+    x[700:720] = x[3]
+    index = module.KmKnn(x, NearestNeighbourParams(), 42, 6)
+    size, calls, squared = len(pickle.dumps(index)), [], module.squared
+    monkeypatch.setattr(module, "squared", lambda a, b: calls.append(1) or squared(a, b))
+    at, row = index.query(x[:200], 6)
+    assert len(calls) == 1 and len(pickle.dumps(index)) == size
+    d = ((x[None] - x[:200, None]) ** 2).sum(2)
+    kth = np.sort(d, axis=1)[:, 5]
+    assert all(set(np.flatnonzero(d[k] <= kth[k])) <= set(row[at == k]) for k in range(200))
+
+
 def test_leaves_are_counted_without_walking_the_tree(monkeypatch):
     """The search condenses the tree at its two last sizes at most; sizes and labels are those of counting leaves."""
     from tessera.operators import tree as module
