@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import mixed
+from tessera.operators.knn import _matrix
 from tessera.operators.labelprop import ONE_TASK_ROWS
 from tessera.operators.onetask import in_one_task
 from tessera.params import EmbeddingParams
@@ -91,6 +92,11 @@ def run_epochs(x: np.ndarray, block: Block, params: EmbeddingParams) -> np.ndarr
     return x
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as an array of lists."""
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
+
+
 def _upper(edges: DataFrame) -> DataFrame:
     """Each undirected edge once, by its (smaller, larger) row."""
     return edges.where("src < dst").groupBy("src", "dst").agg(F.max("w").alias("w"))
@@ -138,30 +144,29 @@ def _by_epochs(upper: DataFrame, start: DataFrame, params: EmbeddingParams, seed
     if w_max is None:
         return start
     rows = start.join(number, "id").select("number", "pos").toArrow().sort_by("number")
-    x = np.array(rows.column("pos").to_pylist(), dtype=float)
+    x = _matrix(rows.column("pos").combine_chunks())
     adam = Adam(x.shape, params)
     for epoch in range(params.n_epochs):
         shared = spark.sparkContext.broadcast(x)
 
         def gradients(batches, epoch=epoch, shared=shared):
-            for pdf in batches:
-                sizes = pdf["adj"].map(len).to_numpy()
-                node = np.repeat(pdf["i"].to_numpy(), sizes)
-                flat = [e for adj in pdf["adj"] for e in adj]
-                block = Block(node, np.array([e["j"] for e in flat], np.int64), np.array([e["w"] for e in flat]), w_max, params, seed)
-                grad, active = block.gradient(shared.value, epoch)
+            for batch in batches:
+                adj = batch.column("adj")
+                node = np.repeat(batch.column("i").to_numpy(), adj.value_lengths().to_numpy())
+                j, w = (f.to_numpy(zero_copy_only=False) for f in adj.flatten().flatten())
+                grad, active = Block(node, j, w, w_max, params, seed).gradient(shared.value, epoch)
                 at = np.flatnonzero(active)
                 if len(at):
-                    yield pd.DataFrame({"i": at, "g": list(grad[at])})
+                    yield pa.RecordBatch.from_arrays([pa.array(at), _lists(grad[at])], names=["i", "g"])
 
-        got = lists.mapInPandas(gradients, "i long, g array<double>").toArrow()
+        got = lists.mapInArrow(gradients, "i long, g array<double>").toArrow()
         at = got.column("i").to_numpy()
         grad, active = np.zeros_like(x), np.zeros(n, dtype=bool)
         if len(at):
-            grad[at], active[at] = np.array(got.column("g").to_pylist()), True
+            grad[at], active[at] = _matrix(got.column("g").combine_chunks()), True
         x = adam.step(x, grad, active, epoch)
         shared.unpersist()
-    placed = spark.createDataFrame(pa.table({"number": np.arange(n), "pos": pa.array(list(x), pa.list_(pa.float64()))}))
+    placed = spark.createDataFrame(pa.table({"number": np.arange(n), "pos": _lists(x)}))
     return number.join(placed, "number").select("id", "pos")
 
 
