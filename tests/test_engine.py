@@ -428,6 +428,38 @@ def test_leaves_are_counted_without_walking_the_tree(monkeypatch):
         assert (labels == want[1]).all() and (strengths == want[2]).all()
 
 
+@pytest.mark.parametrize("k", [0, 5, 30])
+def test_wide_vectors_are_compared_by_products(spark, monkeypatch, k):
+    """The tree with copies, ties and far origins is the one grown point by point; boxes of wide vectors need no distances in full."""
+    from tessera.operators import mst as module
+
+    rng = np.random.default_rng(k)
+    x = np.concatenate([rng.normal(size=(300, 9)) + rng.integers(0, 3, (300, 1)) * 6, np.round(rng.normal(size=(200, 9))), np.zeros((200, 9))]) + 1000
+    df = points(spark, rng.permutation(x)).selectExpr("id * 7 - 900 AS id", "embedding")
+    want = rows(mst(df, k))
+    assert rows(mst(df, k, one_task_rows=3)) == want and len(want) == 699
+    known = module.Boxes(np.arange(len(x)), x, np.zeros(len(x)))
+    monkeypatch.setattr(module, "_gap", None)
+    own = np.arange(len(x)) % 90
+    best, other = module.nearest_other(known, own, known, own, None)
+    d = np.sqrt(((known.x[None] - known.x[:, None]) ** 2).sum(2))
+    d[own[:, None] == own[None]] = np.inf
+    assert (best == d.min(1)).all() and (other == np.where(d == best[:, None], known.ids[None], 1 << 40).min(1)).all()
+
+
+@pytest.mark.parametrize("name", ["linkage_mst"])
+def test_trees_of_whole_vectors(spark, tmp_path, name):
+    """Vectors that differ in their last dimensions only are apart."""
+    from tessera.queries import QUERIES
+
+    x = np.zeros((40, 64))
+    x[:, 63] = np.concatenate([np.arange(20), 100 + np.arange(20)])
+    points(spark, x).selectExpr("id AS vec_id", "embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES[name](spark, str(tmp_path)).toPandas()
+    if name == "linkage_mst":
+        assert got.set_index("merge_id")["distance"][78] == 81 and got["distance"].min() == 3
+
+
 def test_nearest_other_component_in_blocks(spark):
     x, _ = blob_arrays(15, 3, 3, 4, 1.0, 5)
     df = points(spark, x).join(core_distance(points(spark, x), 3), "id").withColumn("comp", F.col("id") % 4).cache()
