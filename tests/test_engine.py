@@ -447,17 +447,19 @@ def test_wide_vectors_are_compared_by_products(spark, monkeypatch, k):
     assert (best == d.min(1)).all() and (other == np.where(d == best[:, None], known.ids[None], 1 << 40).min(1)).all()
 
 
-@pytest.mark.parametrize("name", ["linkage_mst"])
+@pytest.mark.parametrize("name", ["barcode_mst", "linkage_mst"])
 def test_trees_of_whole_vectors(spark, tmp_path, name):
     """Vectors that differ in their last dimensions only are apart."""
     from tessera.queries import QUERIES
 
     x = np.zeros((40, 64))
-    x[:, 63] = np.concatenate([np.arange(20), 100 + np.arange(20)])
+    x[:, 63] = np.concatenate([np.arange(20), 30 + np.arange(20)]) / 10
     points(spark, x).selectExpr("id AS vec_id", "embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = QUERIES[name](spark, str(tmp_path)).toPandas()
     if name == "linkage_mst":
-        assert got.set_index("merge_id")["distance"][78] == 81 and got["distance"].min() == 3
+        assert got.set_index("merge_id")["distance"][78] == 1.1 and got["distance"].min() == 0.3
+    if name == "barcode_mst":  # both groups part at distance 1.1
+        assert (got["lambda_death"] == round(math.exp(-1.1), 6)).sum() == 2
 
 
 def test_nearest_other_component_in_blocks(spark):
