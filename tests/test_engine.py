@@ -469,6 +469,23 @@ def test_nearest_other_component_in_blocks(spark):
     assert nearest_other_component(df.withColumn("comp", F.lit(1).cast("long"))).count() == 0
 
 
+def test_descendants_are_written_in_bounded_pieces(spark, monkeypatch):
+    """A caterpillar of 700 leaves has n^2 / 2 rows; no task returns them at once, and forests and empty tables are fine."""
+    from tessera.operators import mst as module
+
+    monkeypatch.setattr(module, "PIECE", 100)
+    monkeypatch.setattr(module, "TASK_ROWS", 20_000)
+    n, x = 700, np.arange(700)[:-1]
+    link = linkage(spark.createDataFrame(pd.DataFrame({"u": x, "v": x + 1, "w": x + 1.0})))
+    out = module.descendants(link)
+    sizes = out.groupBy(F.spark_partition_id().alias("p")).count().toPandas()["count"]
+    assert len(sizes) >= 12 and sizes.max() < 2 * sizes.mean()
+    got = out.groupBy("node").agg(F.count("leaf").alias("n"), F.countDistinct("leaf").alias("d"), F.max("leaf").alias("m")).toPandas()
+    assert len(got) == n - 1 and (got["n"] == got["node"] - n + 2).all() and (got["d"] == got["n"]).all() and (got["m"] == got["n"] - 1).all()
+    two = spark.createDataFrame([(4, 1, 0, 1.0, 2), (5, 3, 2, 1.0, 2)], "merge_id long, left long, right long, distance double, size long")
+    assert rows(module.descendants(two)) == [(4, 0), (4, 1), (5, 2), (5, 3)] and module.descendants(two.limit(0)).count() == 0
+
+
 def test_linkage_and_components(spark):
     tree_ = spark.createDataFrame([(0, 1, 1.0), (2, 3, 1.0), (0, 2, 10.0)], "u long, v long, w double")
     assert rows(linkage(tree_)) == [(4, 1, 0, 1.0, 2), (5, 3, 2, 1.0, 2), (6, 5, 4, 10.0, 4)]
