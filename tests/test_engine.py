@@ -447,7 +447,7 @@ def test_wide_vectors_are_compared_by_products(spark, monkeypatch, k):
     assert (best == d.min(1)).all() and (other == np.where(d == best[:, None], known.ids[None], 1 << 40).min(1)).all()
 
 
-@pytest.mark.parametrize("name", ["barcode_mst", "linkage_mst"])
+@pytest.mark.parametrize("name", ["barcode_mst", "descendants_mst", "linkage_mst"])
 def test_trees_of_whole_vectors(spark, tmp_path, name):
     """Vectors that differ in their last dimensions only are apart."""
     from tessera.queries import QUERIES
@@ -460,6 +460,9 @@ def test_trees_of_whole_vectors(spark, tmp_path, name):
         assert got.set_index("merge_id")["distance"][78] == 1.1 and got["distance"].min() == 0.3
     if name == "barcode_mst":  # both groups part at distance 1.1
         assert (got["lambda_death"] == round(math.exp(-1.1), 6)).sum() == 2
+    if name == "descendants_mst":  # both groups are nodes
+        held = {tuple(sorted(v)) for v in got.groupby("node")["leaf"].apply(list)}
+        assert tuple(range(20)) in held and tuple(range(20, 40)) in held
 
 
 def test_nearest_other_component_in_blocks(spark):
