@@ -114,6 +114,26 @@ def test_budgets_are_raised_until_neighbours_are_found(method):
     assert share[0] >= 0.9 > share[1]
 
 
+@pytest.mark.parametrize("offset", [0, 1e4])
+def test_forest_answers_queries_together(monkeypatch, offset):
+    """No walk of a query's own; alone or together, each gets the same rows, copies and far origins too, and enough of its neighbours."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(3000, 12)), np.zeros((60, 12))]) + offset
+    x[500:520] = x[499]
+    monkeypatch.setattr(search.heapq, "heappop", None)
+    index = search.Forest(x, NearestNeighbourParams(), 42, 6)
+    assert index.budget < index.enough() / 4
+    ask = np.arange(0, 3060, 9)
+    at, row = index.query(x[ask], 6)
+    assert len(np.unique(at * len(x) + row)) == len(at)
+    d = ((x[None] - x[ask][:, None]) ** 2).sum(2)
+    near = np.argsort(d, axis=1, kind="stable")[:, :6]
+    assert np.mean([np.isin(near[i], row[at == i]).mean() for i in range(len(ask))]) > 0.9
+    assert index.query(x[:0], 6)[0].size == 0
+    for i in range(0, len(ask), 40):
+        assert set(index.query(x[ask[i : i + 1]], 6)[1]) == set(row[at == i])
+
+
 def test_centres_hold_no_whole_table_of_distances(monkeypatch):
     """Rows x centres are made in pieces."""
     seen, real = [], search.squared
